@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratavec.session import ship
 
-from . import idfile, packing, sharding, simhash
+from . import idfile, jpeg, packing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,6 +39,11 @@ def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_query
+def op8_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.describe(jpeg.with_media(_table(spark, sf_dir, "documents")))
+
+
 @_query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.groups(_table(spark, sf_dir, "documents"), shingle=4, distance=4)
