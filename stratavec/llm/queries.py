@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratavec.session import ship
 
-from . import idfile, jpeg, packing, sharding, simhash
+from . import idfile, jpeg, linechunks, mixing, packing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +24,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table: a labelled document's domain is its language and its quality label."""
+    labels, docs = _table(spark, sf_dir, "labels"), _table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return labels.join(docs, "doc_id").select("doc_id", F.concat_ws("/", "lang", F.col("quality").cast("string")).alias("domain"))
+
+
+@_query
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = mixing.mix(docs, labelled_domains(spark, sf_dir), power=0.8)
+    copies = F.floor(F.col("rate") + F.col("draw")).cast("int")
+    return out.select("doc_id", "source", "n_tokens", "domain", "posterior", "rate", copies.alias("copies"))
+
+
 @_query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = idfile.round_trip(_table(spark, sf_dir, "documents"), end_id=2)
@@ -39,6 +53,15 @@ def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_query
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linechunks.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "lines", "chunks", "removed_chunks", "removed_lines", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+
+
+SQL["op6_line_chunks"] = linechunks.SQL
+
+
 @_query
 def op8_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.describe(jpeg.with_media(_table(spark, sf_dir, "documents")))
