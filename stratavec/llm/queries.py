@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratavec.session import ship
 
-from . import idfile, jpeg, linechunks, mixing, packing, sharding, simhash
+from . import idfile, jpeg, linechunks, mixing, packing, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,6 +38,13 @@ def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "n_tokens", "domain", "posterior", "rate", copies.alias("copies"))
 
 
+@_query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out()).select("doc_id", "toxic")
+    out = toxicity.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @_query
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = idfile.round_trip(_table(spark, sf_dir, "documents"), end_id=2)
