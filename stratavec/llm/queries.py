@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratavec.session import ship
 
-from . import idfile, jpeg, linechunks, mixing, packing, sharding, simhash, toxicity
+from . import idfile, jpeg, linechunks, mixing, packing, rpforest, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,6 +51,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@_query
+def op4_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 @_query
 def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
