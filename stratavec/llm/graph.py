@@ -13,6 +13,7 @@ from stratavec.session import materialize, remove, ship
 
 #: Members of a bucket compared in one piece; a larger bucket is dealt out as pairs of cells of about this size.
 CELL = 2048
+MOST_BROADCAST = 100_000
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -57,13 +58,18 @@ def compare_in_buckets(rows: DataFrame, schema: str, compare: Callable[[dict[str
     """
     spark = rows.sparkSession
     ship(spark)
-    big = rows.groupBy("bucket").count().where(F.col("count") > CELL).select("bucket", F.ceil(F.col("count") / CELL).cast("int").alias("cells"))
+    counts = rows.groupBy("bucket").count().where(F.col("count") > CELL).select("bucket", F.ceil(F.col("count") / CELL).cast("int").alias("cells"))
+    big = materialize(counts, "large-buckets")
+    some = big.limit(MOST_BROADCAST + 1).count()
     names = [c for c in rows.columns if c != "bucket"]
-    dealt = rows.join(big, "bucket", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
-    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64(*[F.col(c) for c in names[:1]]), F.col("cells")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, cells - 1)")))
-    unit = F.xxhash64("bucket", F.least("cell", "other"), F.greatest("cell", "other"))
-    dealt = dealt.select(unit.alias("unit"), "bucket", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "cell", *names)
+    if some:  # 12 bytes a large bucket; beyond the checked number the join is an ordinary one
+        rows = rows.join(F.broadcast(big) if some <= MOST_BROADCAST else big, "bucket", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+        rows = rows.withColumn("cell", F.pmod(F.xxhash64(*[F.col(c) for c in names[:1]]), F.col("cells")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.expr("sequence(0, cells - 1)")))
+        code = (F.least("cell", "other").cast("long") * (1 << 31) + F.greatest("cell", "other")) * 2 + (F.col("cell") <= F.col("other")).cast("long")
+        dealt = rows.select("bucket", code.alias("code"), *names)
+    else:
+        dealt = rows.select("bucket", F.lit(1).cast("long").alias("code"), *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -78,22 +84,23 @@ def compare_in_buckets(rows: DataFrame, schema: str, compare: Callable[[dict[str
                 col[c] = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), width)
             else:
                 col[c] = x.to_numpy(zero_copy_only=False)
-        order = np.lexsort((col["cell"], col["hi"], col["lo"], col["bucket"]))
-        b, lo, hi, cell = (col[c][order] for c in ("bucket", "lo", "hi", "cell"))
-        new = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        unit = col["code"] >> 1
+        order = np.lexsort((unit, col["bucket"]))
+        b, u = col["bucket"][order], unit[order]
+        new = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (u[1:] != u[:-1])])
         ends = np.r_[new[1:], len(order)]
         several = np.flatnonzero(ends - new > 1)
         for s, e in zip(new[several].tolist(), ends[several].tolist()):
-            idx = order[s:e]
-            if lo[s] == hi[s]:
+            idx, pair = order[s:e], int(u[s])
+            if pair >> 31 == pair & ((1 << 31) - 1):
                 yield from compare(col, idx, idx, True)
             else:
-                first = cell[s:e] == lo[s]
+                first = (col["code"][idx] & 1).astype(bool)
                 if first.any() and not first.all():
                     yield from compare(col, idx[first], idx[~first], False)
         yield finish()
 
-    return dealt.repartition(F.col("unit")).mapInArrow(run, schema)
+    return dealt.repartition(F.xxhash64("bucket", F.shiftright("code", 1))).mapInArrow(run, schema)
 
 
 def spanning(links: np.ndarray) -> np.ndarray:

@@ -82,7 +82,7 @@ def op8_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.groups(_table(spark, sf_dir, "documents"), shingle=4, distance=4)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @_query

@@ -27,36 +27,58 @@ from . import graph
 _ROWS = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, repeats included; fewer words than a shingle make one, none make none."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space separates
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.r_[0, ends[:-1] + 1][:n].tolist()
     stops = ends[shingle - 1 :].tolist() if len(words) >= shingle else [len(joined)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    return int(majority(shingle_hashes(text, shingle)))
+
+
+def majority(h: np.ndarray) -> np.uint64:
+    """A bit is set where over half of the hashes have it."""
+    n = len(h)
     count = np.zeros(64, np.int64)
     for i in range(0, n, _ROWS):
         part = h[i : i + _ROWS].astype(">u8").view(np.uint8).reshape(-1, 8)
         count += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
+    return np.packbits(2 * count > n).view(">u8")[0].astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
+def remixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The hashes under the k-th further hash function (0: as they are)."""
+    if not k:
+        return h
+    x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)  # an odd multiplier
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, functions: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, fps): a fingerprint for each hash function, the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fps = np.empty((batch.num_rows, functions), np.uint64)
+            for i, t in enumerate(batch.column(1)):
+                h = shingle_hashes(t.as_py(), shingle)
+                fps[i] = [majority(remixed(h, k)) for k in range(functions)]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * functions, pa.int32()), pa.array(fps.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["doc_id", "fps"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fps array<long>")
 
 
 def block_keys(n: int, distance: int, spare: float = 4.0) -> list[int]:
@@ -73,11 +95,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def near(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """Edges (a, b) that connect the nodes of ``fps`` (node, fp; distinct fingerprints) within the distance."""
-    masks = block_keys(fps.count(), distance)
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))) for i, m in enumerate(masks)]))
-    rows = fps.select(keys.alias("bucket"), "node", "fp")
+def near(nodes: DataFrame, distance: int = 4, spare: float = 4.0) -> DataFrame:
+    """Edges (a, b) that connect the nodes (node, fps) whose fingerprints by the same hash function are within the distance."""
+    masks = block_keys(nodes.count(), distance, spare)
+    each = nodes.select("node", F.posexplode("fps").alias("f", "fp"))
+    keys = F.explode(F.array(*[F.xxhash64(F.col("f") * len(masks) + i, F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))) for i, m in enumerate(masks)]))
+    rows = each.select(keys.alias("bucket"), "node", "fp")
 
     def compare(col, mine, others, same):
         a, b = col["fp"][mine].view(np.uint64), col["fp"][others].view(np.uint64)
@@ -110,11 +133,36 @@ def near(fps: DataFrame, distance: int = 4) -> DataFrame:
     return graph.compare_in_buckets(rows, "a long, b long", compare, finish=flush)
 
 
-def groups(docs: DataFrame, shingle: int = 4, distance: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, component_id) for every document; component_id is the least id reachable over links."""
-    fps = materialize(fingerprints(docs, shingle, text, key), "fingerprints")
-    nodes = materialize(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    comp = graph.components(near(nodes, distance))
-    by_fp = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = fps.join(by_fp, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+def _verified(edges: DataFrame, docs: DataFrame, shingle: int, jaccard: float, text: str, key: str) -> DataFrame:
+    """The edges whose documents' sets of shingles have at least this Jaccard similarity; only their texts are fetched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.unique(shingle_hashes(t.as_py(), shingle)) for t in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= jaccard * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    one = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_k")).agg(F.min(F.col(text).cast("string")).alias("_t"))
+    pairs = edges.distinct().join(one.withColumnsRenamed({"_k": "a", "_t": "ta"}), "a").join(one.withColumnsRenamed({"_k": "b", "_t": "tb"}), "b")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def groups(docs: DataFrame, shingle: int = 4, distance: int = 4, functions: int = 1, jaccard: float | None = None, spare: float = 4.0, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, fps, component_id) for every document; component_id is the least id reachable over links.
+
+    With several hash functions a pair within the distance by any of them is a candidate; ``jaccard`` then keeps the
+    candidates whose shingle sets are that similar. One 64-bit fingerprint with a short distance finds few of the pairs
+    at 0.8; several with a longer one find most.
+    """
+    fps = materialize(fingerprints(docs, shingle, functions, text, key), "fingerprints")
+    nodes = materialize(fps.where("doc_id is not null").groupBy("fps").agg(F.min("doc_id").alias("node")), "nodes")
+    edges = materialize(near(nodes, distance, spare), "near")
+    if jaccard is not None:
+        edges = _verified(edges, docs, shingle, jaccard, text, key)
+    comp = graph.components(edges)
+    by_fp = nodes.join(comp, "node", "left").select("fps", F.coalesce("component", "node").alias("component_id"))
+    out = fps.join(by_fp, "fps", "left")
+    return out.select("doc_id", "fps", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from stratavec.session import materialize, ship
 
@@ -221,8 +222,8 @@ def score_words(found: set[str], lex: dict[str, float], base: float) -> float:
     return -math.expm1(total)
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs``'s key with ``score`` (0 to 1) for every whole text."""
+def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """``docs``'s carried columns (null: the key) with ``score`` (0 to 1) for every whole text."""
     spark = docs.sparkSession
     ship(spark)
     lm = language_model(trigram_counts(docs, text))
@@ -234,9 +235,13 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, text: str =
         rest = Restorer(lm)
         for batch in batches:
             got = [score_words(words(t, rest), lex, base) if t else base for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != 1), pa.array(got, pa.float64())], [*names, "score"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    carry = carry or [key]
+    rows = docs.select(F.lit(0).alias("_0"), F.col(text).cast("string").alias("_text"), *[F.col(c) for c in carry])
+    names = ["_0", *carry]
+    out = StructType([*[f for f in rows.schema.fields if f.name != "_text"], StructField("score", DoubleType())])
+    return rows.mapInArrow(run, out).drop("_0")
 
 
 def held_out(key: str = "doc_id"):
