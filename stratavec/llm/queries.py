@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratavec.session import ship
 
-from . import idfile, jpeg, linechunks, mixing, packing, rpforest, sharding, simhash, toxicity
+from . import idfile, jpeg, linechunks, mixing, packing, rpforest, sharding, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,6 +74,14 @@ def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op6_line_chunks"] = linechunks.SQL
 
 
+@_query
+def op7_bwt_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+
+
 @_query
 def op8_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.describe(jpeg.with_media(_table(spark, sf_dir, "documents")))
