@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +58,7 @@ def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, n
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Start positions by the first ``depth`` bytes at least (prefix doubling from 8 bytes); positions break ties."""
+    """Start positions by the first ``depth`` bytes at least (prefix doubling from 8 bytes), in any order where these are equal."""
     n = len(text)
     padded = np.r_[text, np.full(8, _SEP, np.uint8)]
     key = np.zeros(n, np.uint64)
@@ -65,7 +66,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         key = (key << np.uint64(8)) | padded[k : k + n]
     have = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[0, s[1:] != s[:-1]])
@@ -138,8 +139,10 @@ def decide(snippets: list[bytes], docs: np.ndarray, length: int = LENGTH) -> lis
 
 def _release(spark) -> None:
     """Let Spark drop the shuffle files of what is no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner works in the background
 
 
 _LARGEST = (1 << 63) - 1
@@ -156,16 +159,15 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
             keys = batch.column(0).to_numpy()
             got = [np.unique(anchors(t.as_py().encode(), length)[0]) for t in batch.column(1)]
             each = np.repeat(keys, [len(x) for x in got])
-            crc = np.repeat(batch.column(2).to_numpy(), [len(x) for x in got])
             h = np.concatenate(got) if got else np.zeros(0, np.int64)
             for a in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (each, crc, h)], ["doc", "row", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (each, h)], ["doc", "h"])
 
     keyed = rows.select("doc", "text", F.xxhash64("text").alias("row"))
-    found = keyed.mapInArrow(hashes, "doc long, row long, h long")
+    found = rows.mapInArrow(hashes, "doc long, h long")
     repeated = materialize(found.groupBy("h").count().where("count > 1").select("h"), "anchors")
     _release(spark)
-    mine = found.join(repeated, "h", "left_semi").groupBy("doc", "row").agg(F.collect_set("h").alias("hs"))
+    mine = found.join(repeated, "h", "left_semi").groupBy("doc").agg(F.collect_set("h").alias("hs"))
     mine = materialize(mine, "anchors-by-document")
     _release(spark)
 
@@ -188,7 +190,7 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc", "row", "h", "at", "snip"])
 
-    both = keyed.withColumnsRenamed({"doc": "d2", "row": "r2"}).join(mine, (F.col("d2") == F.col("doc")) & (F.col("r2") == F.col("row")))
+    both = keyed.join(mine, "doc")
     occ = both.select("doc", "row", "text", "hs").mapInArrow(cut, "doc long, row long, h long, at long, snip binary")
     occ = materialize(occ.withColumn("sid", F.xxhash64("snip")), "snippets")
     remove(spark, mine)
