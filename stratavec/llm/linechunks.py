@@ -19,15 +19,22 @@ from pyspark.sql import functions as F
 EVERY = 3
 
 # line hash: 28 leading bits of MD5; rolling hash over a window of two line hashes
-_HASHES = "transform(_lines, x -> cast(conv(substring(md5(cast(x as binary)), 1, 7), 16, 10) as bigint))"
-_ENDS = "filter(sequence(1, size(_hash)), i -> i = size(_hash) or (element_at(_hash, i) * 31 + if(i > 1, element_at(_hash, greatest(i - 1, 1)), 0L)) % {every} = 0)"
-_CHUNKS = "transform(_ends, (e, k) -> struct(k + 1 as k, if(k = 0, 1, element_at(_ends, greatest(k, 1)) + 1) as a, e as b))"
+_HASHES = "transform(_split, x -> cast(conv(substring(md5(cast(x as binary)), 1, 7), 16, 10) as bigint))"
+_ENDS = "filter(sequence(1, size(_x.h)), i -> i = size(_x.h) or (element_at(_x.h, i) * 31 + if(i > 1, element_at(_x.h, greatest(i - 1, 1)), 0L)) % {every} = 0)"
+_CHUNKS = "transform(_y.e, (e, k) -> struct(k + 1 as k, if(k = 0, 1, element_at(_y.e, greatest(k, 1)) + 1) as a, e as b))"
 
 
 def chunked(docs: DataFrame, every: int = EVERY, text: str = "text") -> DataFrame:
-    """``docs`` with ``_lines`` and ``_chunks`` (number, first and last line, all from 1)."""
-    lines = docs.withColumn("_lines", F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1))
-    return lines.withColumn("_hash", F.expr(_HASHES)).withColumn("_ends", F.expr(_ENDS.format(every=every))).withColumn("_chunks", F.expr(_CHUNKS)).drop("_hash", "_ends")
+    """``docs`` with ``_lines`` and ``_chunks`` (number, first and last line, all from 1).
+
+    Each step's arrays come out of a one-row explode. Without it a filter on the result is pushed below the steps, which
+    puts whole steps inside the next one's lambda and makes the work quadratic in the lines and worse.
+    """
+    split = docs.withColumn("_split", F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1))
+    hashed = split.withColumn("_x", F.explode(F.array(F.struct(F.col("_split").alias("l"), F.expr(_HASHES).alias("h"))))).drop("_split")
+    ended = hashed.withColumn("_y", F.explode(F.array(F.struct(F.col("_x.l").alias("l"), F.expr(_ENDS.format(every=every)).alias("e"))))).drop("_x")
+    done = ended.withColumn("_z", F.explode(F.array(F.struct(F.col("_y.l").alias("l"), F.expr(_CHUNKS).alias("c"))))).drop("_y")
+    return done.withColumn("_lines", F.col("_z.l")).withColumn("_chunks", F.col("_z.c")).drop("_z")
 
 
 _BODY = "array_join(slice(_lines, _c.a, _c.b - _c.a + 1), '\n')"
