@@ -14,6 +14,8 @@ from stratavec.session import materialize, remove, ship
 #: Members of a bucket compared in one piece; a larger bucket is dealt out as pairs of cells of about this size.
 CELL = 2048
 MOST_BROADCAST = 100_000
+#: Buckets up to this size are tested as whole columns of pairs, this many rows at a time.
+SMALL, CHUNK = 64, 100_000
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -47,7 +49,24 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return out.groupBy("node").agg(F.min("component").alias("component"))
 
 
-def compare_in_buckets(rows: DataFrame, schema: str, compare: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray, bool], Iterator[pa.RecordBatch]], finish: Callable[[], pa.RecordBatch]) -> DataFrame:
+def linked_pairs(starts: np.ndarray, ends: np.ndarray, test: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket number, i, j) of the pairs within the runs [start, end) that pass ``test(i, j)``, found a distance at a time."""
+    size = ends - starts
+    which = np.repeat(np.arange(len(starts)), size)
+    at = np.arange(len(which)) + np.repeat(starts - np.cumsum(size) + size, size)
+    after = ends[which] - at - 1
+    out: list[tuple[np.ndarray, ...]] = []
+    for d in range(1, int(size.max(initial=1))):
+        fits = after >= d
+        which, at, after = which[fits], at[fits], after[fits]
+        hit = np.flatnonzero(test(at, at + d))
+        out.append((which[hit], at[hit], at[hit] + d))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def compare_in_buckets(rows: DataFrame, schema: str, compare: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray, bool], Iterator[pa.RecordBatch]], finish: Callable[[], pa.RecordBatch], linked: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray] | None = None, take: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """Bring the rows of each bucket (column ``bucket``, long) together and compare them.
 
     compare(columns, mine, others, same) gets numpy columns of a task's rows and the indexes of two sides of a bucket's
@@ -55,6 +74,10 @@ def compare_in_buckets(rows: DataFrame, schema: str, compare: Callable[[dict[str
     gathered enough, and finish() gives the last one. A bucket
     of more than CELL rows is dealt into cells and every pair of cells becomes a unit of its own, so no task holds or
     compares more than two cells of a bucket at once, and every pair of rows still meets exactly once.
+
+    With ``linked`` (which of the pairs at two aligned index arrays are links) and ``take`` (gathers linked pairs) the
+    buckets of up to SMALL rows are tested as columns. Of these compare gets only the dense ones, with over two links a
+    row; the others' links are taken one by one. Rows of a bucket then stand by their first column.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -85,11 +108,23 @@ def compare_in_buckets(rows: DataFrame, schema: str, compare: Callable[[dict[str
             else:
                 col[c] = x.to_numpy(zero_copy_only=False)
         unit = col["code"] >> 1
-        order = np.lexsort((unit, col["bucket"]))
+        order = np.lexsort(((col[names[0]],) if linked else ()) + (unit, col["bucket"]))
         b, u = col["bucket"][order], unit[order]
         new = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (u[1:] != u[:-1])])
         ends = np.r_[new[1:], len(order)]
-        several = np.flatnonzero(ends - new > 1)
+        size = ends - new
+        several = np.flatnonzero(size > 1)
+        if linked:
+            one_cell = u[new] >> 31 == u[new] & ((1 << 31) - 1)
+            small = np.flatnonzero((size > 1) & (size <= SMALL) & one_cell)
+            several = np.flatnonzero((size > 1) & ~((size <= SMALL) & one_cell))
+            piece = np.cumsum(size[small]) // CHUNK
+            for part in np.split(small, np.flatnonzero(np.diff(piece)) + 1):
+                k, i, j = linked_pairs(new[part], ends[part], lambda x, y: linked(col, order[x], order[y]))
+                dense = np.bincount(k, minlength=len(part)) > 2 * size[part]
+                few = ~dense[k]
+                yield from take(col, order[i[few]], order[j[few]])
+                several = np.r_[several, part[dense]]
         for s, e in zip(new[several].tolist(), ends[several].tolist()):
             idx, pair = order[s:e], int(u[s])
             if pair >> 31 == pair & ((1 << 31) - 1):
@@ -117,3 +152,24 @@ def spanning(links: np.ndarray) -> np.ndarray:
             front = np.flatnonzero(near)
             label[front] = seed
     return label
+
+
+def tree(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of n items' symmetric boolean link matrix as (item, parent), every edge a link; roots are least."""
+    label = spanning(links)
+    child = np.flatnonzero(label != np.arange(len(links)))
+    direct = links[child, label[child]]
+    parent = label[child]
+    if not direct.all():
+        done = np.zeros(len(links), bool)
+        done[label[label == np.arange(len(links))]] = True
+        done[child[direct]] = True
+        left, front = child[~direct], done.copy()
+        while len(left):
+            near = links[left][:, front]
+            got = near.any(axis=1)
+            parent[np.searchsorted(child, left[got])] = np.flatnonzero(front)[near[got].argmax(axis=1)]
+            front = np.zeros(len(links), bool)
+            front[left[got]] = True
+            left = left[~got]
+    return child, parent

@@ -103,34 +103,37 @@ def near(nodes: DataFrame, distance: int = 4, spare: float = 4.0) -> DataFrame:
     rows = each.select(keys.alias("bucket"), "node", "fp")
 
     def compare(col, mine, others, same):
-        a, b = col["fp"][mine].view(np.uint64), col["fp"][others].view(np.uint64)
-        na, nb = col["node"][mine], col["node"][others]
-        if same and len(a) == 2:
-            if int(a[0] ^ a[1]).bit_count() <= distance:
-                out[0].append(na[:1])
-                out[1].append(na[1:])
-        else:
-            both = np.r_[a, b] if not same else a
-            ids = np.r_[na, nb] if not same else na
-            links = np.zeros((len(both), len(both)), bool)
-            for i in range(0, len(both), 512):
-                links[i : i + 512] = np.bitwise_count(both[i : i + 512, None] ^ both[None, :]) <= distance
-            label = graph.spanning(links)
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            out[0].append(ids[moved])
-            out[1].append(ids[label[moved]])
-        if sum(map(len, out[0])) > 100_000 or len(out[0]) > 5_000:
-            yield flush()
+        idx = mine if same else np.sort(np.r_[mine, others])
+        idx = idx[np.argsort(col["node"][idx], kind="stable")]
+        fp, ids = col["fp"][idx].view(np.uint64), col["node"][idx]
+        links = np.zeros((len(fp), len(fp)), bool)
+        for i in range(0, len(fp), 512):
+            links[i : i + 512] = np.bitwise_count(fp[i : i + 512, None] ^ fp[None, :]) <= distance
+        child, parent = graph.tree(links)
+        yield from gather(ids[parent], ids[child])
+
+    def linked(col, i, j):
+        return np.bitwise_count((col["fp"][i] ^ col["fp"][j]).view(np.uint64)) <= distance
+
+    def take(col, i, j):
+        yield from gather(col["node"][i], col["node"][j])
 
     out: list[list[np.ndarray]] = [[], []]
 
+    def gather(a, b):
+        out[0].append(a)
+        out[1].append(b)
+        if sum(map(len, out[0])) > 100_000 or len(out[0]) > 5_000:
+            yield flush()
+
     def flush():
-        cols = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out]
+        pairs = np.array([np.concatenate(x) if x else np.zeros(0, np.int64) for x in out])
         out[0].clear()
         out[1].clear()
-        return pa.RecordBatch.from_arrays(cols, ["a", "b"])
+        pairs = np.unique(pairs, axis=1)  # many buckets give the same link
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
 
-    return graph.compare_in_buckets(rows, "a long, b long", compare, finish=flush)
+    return graph.compare_in_buckets(rows, "a long, b long", compare, finish=flush, linked=linked, take=take)
 
 
 def _verified(edges: DataFrame, docs: DataFrame, shingle: int, jaccard: float, text: str, key: str) -> DataFrame:

@@ -295,3 +295,24 @@ def test_components(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 40: 1, 7: 7, 9: 9, 10: 9, 11: 9, 12: 9, 50: 9, 60: 9}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_linked_pairs_and_tree_against_all_pairs():
+    from stratavec.llm import graph
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, 300)
+    cuts = np.r_[0, np.sort(rng.choice(np.arange(1, 300), 40, replace=False)), 300]
+    k, i, j = graph.linked_pairs(cuts[:-1], cuts[1:], lambda a, b: np.abs(x[a] - x[b]) <= 1)
+    want = {(n, a, b) for n, (s, e) in enumerate(zip(cuts, cuts[1:])) for a in range(s, e) for b in range(a + 1, e) if abs(x[a] - x[b]) <= 1}
+    assert len(k) == len(want) and set(zip(k.tolist(), i.tolist(), j.tolist())) == want
+    assert all(len(p) == 0 for p in graph.linked_pairs(np.zeros(0, int), np.zeros(0, int), lambda a, b: a == b))
+    for n, share in ((1, 0.5), (40, 0.02), (40, 0.05), (60, 0.9)):
+        links = rng.random((n, n)) < share
+        links |= links.T
+        child, parent = graph.tree(links)
+        label = graph.spanning(links)
+        assert links[child, parent].all() and len(child) == n - len(set(label.tolist()))
+        joined = np.zeros((n, n), bool)
+        joined[child, parent] = joined[parent, child] = True
+        assert (graph.spanning(joined) == label).all()
