@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +36,16 @@ LENGTH, GRAM = 50, 16
 _SEP = 0xFF  # no UTF-8 text has this byte
 
 
-def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of windows with the same anchor: the anchor's hash, the first window's start and the last one's."""
-    n = len(raw)
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
+#: Bytes of text hashed or sorted at a time, so that the working arrays stay in a core's cache.
+PIECE = 1 << 18
+
+
+def anchors(raws: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of a text's windows with the same anchor: number of the text, the anchor's hash, the first window's start and the last one's."""
+    sizes = np.array([len(x) for x in raws], np.int64)
+    if sizes.sum() < length:
+        return (np.zeros(0, np.int64),) * 4
+    h = np.frombuffer(b"".join(raws), np.uint8).astype(np.uint64) + np.uint64(1)
     step, width = np.uint64(0x100000001B3), 1
     while width < GRAM:
         h = h[:-width] * step + h[width:]
@@ -53,8 +58,31 @@ def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, n
         left = least[:-s] <= least[s:]
         least, where = np.where(left, least[:-s], least[s:]), np.where(left, where[:-s], where[s:])
         have += s
-    first = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-    return least[first].view(np.int64), first, np.r_[first[1:], len(where)] - 1
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    stops = starts + np.maximum(sizes - length + 1, 0)  # where windows begin to reach into the next text
+    change = np.ones(len(where), bool)
+    np.not_equal(where[1:], where[:-1], out=change[1:])
+    for edge in (starts, stops):
+        change[edge[edge < len(change)]] = True
+    first = np.flatnonzero(change)
+    last = np.r_[first[1:], len(change)] - 1
+    owner = np.searchsorted(ends, first, side="right")
+    whole = first < stops[owner]
+    owner, first, last = owner[whole], first[whole], last[whole]
+    return owner, least[first].view(np.int64), first - starts[owner], last - starts[owner]
+
+
+def pieces(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of texts of about PIECE bytes, by their sizes; a longer text is a run of its own."""
+    a = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > PIECE:
+            yield a, i
+            a, total = i, 0
+        total += size
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -156,12 +184,15 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            got = [np.unique(anchors(t.as_py().encode(), length)[0]) for t in batch.column(1)]
-            each = np.repeat(keys, [len(x) for x in got])
-            h = np.concatenate(got) if got else np.zeros(0, np.int64)
-            for a in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (each, h)], ["doc", "h"])
+            keys, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
+            for a, b in pieces(pc.binary_length(texts).to_pylist()):
+                owner, h, _, _ = anchors(texts.slice(a, b - a).to_pylist(), length)
+                order = np.lexsort((h, owner))
+                owner, h = owner[order], h[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])][: len(h)]  # an anchor counts once a document
+                each, h = keys[a:b][owner[new]], h[new]
+                for at in range(0, len(h), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (each, h)], ["doc", "h"])
 
     keyed = rows.select("doc", "text", F.xxhash64("text").alias("row"))
     found = rows.mapInArrow(hashes, "doc long, h long")
@@ -173,18 +204,18 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for doc, row, t, hs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                raw = t.as_py().encode()
-                h, a, b = anchors(raw, length)
-                hit = np.flatnonzero(np.isin(h, hs.values.to_numpy()))
-                at, to = a[hit].tolist(), (b[hit] + length).tolist()
-                for col, v in zip(out, ([doc] * len(hit), [row] * len(hit), h[hit].tolist(), at, [raw[x:y] for x, y in zip(at, to)])):
-                    col.extend(v)
-                if len(out[0]) > 50_000:
-                    yield pack(out)
-                    out = [[] for _ in range(5)]
-            yield pack(out)
+            docs_, rows_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            texts = batch.column(2).cast(pa.binary())
+            for x, y in pieces(pc.binary_length(texts).to_pylist()):
+                raws = texts.slice(x, y - x).to_pylist()
+                owner, h, a, b = anchors(raws, length)
+                hs = batch.column(3).slice(x, y - x)
+                hit = np.flatnonzero(np.isin(h, hs.flatten().to_numpy()))  # repeated for one text is repeated for all
+                o, at, to = owner[hit], a[hit], b[hit] + length
+                for i in range(0, len(hit), 20_000):
+                    z = slice(i, i + 20_000)
+                    snips = [raws[k][s:e] for k, s, e in zip(o[z].tolist(), at[z].tolist(), to[z].tolist())]
+                    yield pack([docs_[x + o[z]], rows_[x + o[z]], h[hit[z]], at[z], snips])
 
     def pack(out: list[list]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -208,9 +239,9 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
         snips = [s for x in held for s in x[1]]
         order = np.argsort(h, kind="stable")
         size = np.cumsum([len(snips[i]) + 1 for i in order.tolist()])
-        # whole anchors, of about 4 MB of text at a time
+        # whole anchors, of about PIECE bytes of text at a time
         edge = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-        part = (size[edge] // 4_000_000).astype(np.int64)
+        part = (size[edge] // PIECE).astype(np.int64)
         cuts = [*edge[np.flatnonzero(np.r_[True, part[1:] != part[:-1]])].tolist(), len(order)]
         for a, b in zip(cuts, cuts[1:]):
             idx = order[a:b].tolist()

@@ -316,3 +316,17 @@ def test_linked_pairs_and_tree_against_all_pairs():
         joined = np.zeros((n, n), bool)
         joined[child, parent] = joined[parent, child] = True
         assert (graph.spanning(joined) == label).all()
+
+
+def test_anchors_of_joined_texts_equal_those_of_each():
+    from stratavec.llm import substrings
+
+    raws = [b"", b"x" * 49, b"ab" * 60, bytes(range(60, 120)) * 3, b"", bytes(range(60, 120)) * 2, b"q" * 50]
+    owner, h, a, b = substrings.anchors(raws)
+    for n, raw in enumerate(raws):
+        alone = substrings.anchors([raw])
+        for one, joined in zip(alone[1:], (h, a, b)):
+            assert one.tolist() == joined[owner == n].tolist()
+    assert list(substrings.pieces([])) == [] and list(substrings.pieces([0] * 3)) == [(0, 3)]
+    much = substrings.PIECE
+    assert list(substrings.pieces([much, 1, much + 1, 0])) == [(0, 1), (1, 2), (2, 3), (3, 4)]
