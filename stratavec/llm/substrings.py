@@ -1,9 +1,9 @@
 """Suffix-array dedup of exact substrings by threshold-bounded interval expansion.
 
 A byte goes if a ``LENGTH``-byte string over it also starts in a document of a smaller id. To bring equal strings
-together without sending every position around, each window of LENGTH bytes has an anchor: the leftmost of its
-16-byte strings with the least hash. Equal windows have equal anchors at equal places, and one anchor serves about 18
-windows in a row. Anchors that occur in one document only are dropped (a count over hashes). Around every other anchor
+together without sending every position around, each window of LENGTH bytes has an anchor: the least hash of its
+16-byte strings. Equal windows have equal anchors, and one anchor serves about 18 windows in a row.
+Anchors that occur in one document only are dropped (a count over hashes). Around every other anchor
 its windows are cut out as a snippet; equal snippets are one, with the least document id that has it.
 
 The snippets of an anchor meet in one task. It sorts their suffixes, forms the Burrows-Wheeler transform and derives
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from stratavec.session import materialize, remove, ship
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 16  # bytes of a matching string, and of those an anchor is chosen from
 _SEP = 0xFF  # no UTF-8 text has this byte
 
 
@@ -41,28 +41,28 @@ PIECE = 1 << 18
 
 
 def anchors(raws: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of a text's windows with the same anchor: number of the text, the anchor's hash, the first window's start and the last one's."""
+    """Of each run of a text's windows with the same anchor: number of the text, the anchor, the first window's start and the last one's."""
     sizes = np.array([len(x) for x in raws], np.int64)
     if sizes.sum() < length:
         return (np.zeros(0, np.int64),) * 4
     h = np.frombuffer(b"".join(raws), np.uint8).astype(np.uint64) + np.uint64(1)
-    step, width = np.uint64(0x100000001B3), 1
+    prime, width = 0x100000001B3, 1
     while width < GRAM:
-        h = h[:-width] * step + h[width:]
-        step, width = np.uint64(int(step) ** 2 & (1 << 64) - 1), 2 * width
+        ahead = min(width, GRAM - width)  # the last two runs of bytes may overlap
+        h = h[:-ahead] * np.uint64(pow(prime, width, 1 << 64)) + h[ahead:]
+        width += ahead
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
-    span, least, where, have = length - GRAM + 1, h, np.arange(len(h), dtype=np.int32), 1
+    span, least, have = length - GRAM + 1, h, 1
     while have < span:
-        s = min(have, span - have)
-        left = least[:-s] <= least[s:]
-        least, where = np.where(left, least[:-s], least[s:]), np.where(left, where[:-s], where[s:])
-        have += s
+        ahead = min(have, span - have)
+        least = np.minimum(least[:-ahead], least[ahead:])
+        have += ahead
     ends = np.cumsum(sizes)
     starts = ends - sizes
     stops = starts + np.maximum(sizes - length + 1, 0)  # where windows begin to reach into the next text
-    change = np.ones(len(where), bool)
-    np.not_equal(where[1:], where[:-1], out=change[1:])
+    change = np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=change[1:])
     for edge in (starts, stops):
         change[edge[edge < len(change)]] = True
     first = np.flatnonzero(change)
@@ -85,64 +85,81 @@ def pieces(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Start positions by the first ``depth`` bytes at least (prefix doubling from 8 bytes), in any order where these are equal."""
+def heads(text: np.ndarray, width: int = 8) -> np.ndarray:
+    """Each position's next ``width`` bytes, at most 8, as one number."""
     n = len(text)
-    padded = np.r_[text, np.full(8, _SEP, np.uint8)]
+    padded = np.r_[text, np.full(width, _SEP, np.uint8)]
     key = np.zeros(n, np.uint64)
-    for k in range(8):
+    for k in range(width):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    have = 8
+    return key
+
+
+def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
+    """Start positions by the first ``depth`` bytes at least (prefix doubling from 8 bytes, of ties only), in any order where these are equal."""
+    n, have = len(text), 8
+    key = heads(text)
+    order = np.argsort(key)
+    key = key[order]
+    rank = np.full(2 * n + depth + 8, n, np.int64)  # place of the first suffix that is equal so far; past the end, n
+    slots, new = np.arange(n), np.r_[True, key[1:] != key[:-1]]
     while True:
-        order = np.argsort(key)
-        s = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, s[1:] != s[:-1]])
-        if have >= depth or rank[order[-1]] == n - 1:
+        first = slots[np.flatnonzero(new)]
+        rank[order[slots]] = np.repeat(first, np.diff(np.r_[np.flatnonzero(new), len(slots)]))
+        if have >= depth:
             return order
-        ahead = np.full(n, n, np.int64)
-        if have < n:
-            ahead[: n - have] = rank[have:]
-        key = (rank.astype(np.uint64) * np.uint64(n + 1)) + ahead.astype(np.uint64)
+        slots = slots[~(new & np.r_[new[1:], True])]
+        if not len(slots):
+            return order
+        tied = order[slots]
+        key = rank[tied].astype(np.uint64) * np.uint64(n + 1) + rank[tied + have].astype(np.uint64)
+        by = np.argsort(key)
+        order[slots], key = tied[by], key[by]
+        new = np.r_[True, key[1:] != key[:-1]]
         have *= 2
 
 
 def bounded_boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """For suffixes in order: whether each shares fewer than ``length`` bytes with the one before it.
 
-    text ends with the separator. Right for suffixes without a separator in their first ``length`` bytes.
+    text ends with the separator. Right for suffixes without a separator in their first ``length`` bytes. The search
+    begins with the intervals of all 8-byte strings, which one comparison of the ordered suffixes gives.
     """
-    n = len(text)
-    bwt = text[order - 1]
-    lf = np.empty(n, np.int64)
-    lf[np.argsort(bwt, kind="stable")] = np.arange(n)
-    head = text[order]
-    known = np.zeros(n + 1, bool)
-    known[[0, n]] = True
-    owner = np.zeros(n, np.int64)
-    lo, hi = np.array([0]), np.array([n - 1])  # the interval of the empty string
-    for level in range(length):
+    n, width = len(text), min(8, length)
+    bwt, head = text[order - 1], text[order]
+    lf = np.empty(n, np.int32)
+    lf[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
+    key = heads(text, width)[order]
+    known = np.ones(n + 1, bool)
+    np.not_equal(key[1:], key[:-1], out=known[1:n])
+    separators = np.cumsum(np.r_[text == _SEP, np.ones(width, bool)], dtype=np.int32)
+    pure = separators[width - 1 : n + width - 1] - separators[:n] + (text == _SEP) == 0
+    lo = np.flatnonzero(known[:n]).astype(np.int32)  # of strings without a separator
+    hi = np.r_[lo[1:], np.int32(n)] - 1
+    keep = pure[order[lo]]
+    lo, hi = lo[keep], hi[keep]
+    owner = np.zeros(n, np.int32)
+    for _ in range(width, length):
         if not len(lo):
             break
+        one = lo == hi
+        alone = lo[one]
+        alone = lf[alone[bwt[alone] != _SEP]]
+        lo, hi = lo[~one], hi[~one]
         size = hi - lo + 1
-        ends = np.cumsum(size)
-        which = np.repeat(np.arange(len(lo)), size)
-        rows = np.arange(ends[-1]) + np.repeat(lo - ends + size, size)
-        to = lf[rows]
-        if level:
-            real = bwt[rows] != _SEP  # a string holds the separator as its last byte only
-            to, which = to[real], which[real]
-        if not len(to):
-            break
+        ends = np.cumsum(size, dtype=np.int32)
+        which = np.repeat(np.arange(len(lo), dtype=np.int32), size)
+        rows = np.arange(len(which), dtype=np.int32) + np.repeat(lo - ends + size, size)
+        real = bwt[rows] != _SEP
+        to, which = lf[rows[real]], which[real]
         owner[to] = which
         to.sort()
         o, c = owner[to], head[to]
-        new = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (c[1:] != c[:-1])])
-        a, b = to[new], to[np.r_[new[1:], len(to)] - 1]
+        new = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (c[1:] != c[:-1])][: len(to)])
+        a, b = np.r_[to[new], alone], np.r_[to[np.r_[new[1:], len(to)] - 1] if len(to) else to, alone]
         fresh = ~known[b + 1]
         known[b[fresh] + 1] = True
-        keep = fresh | (level == 0)
-        lo, hi = a[keep], b[keep]
+        lo, hi = a[fresh], b[fresh]
     return known[:n]
 
 
@@ -230,29 +247,44 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
     distinct = occ.groupBy("h", "snip").agg(F.min("doc").alias("doc"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by anchor; whole anchors of about PIECE bytes of text are sorted at a time."""
         held: list[tuple[np.ndarray, list[bytes], np.ndarray]] = []
+        size = 0
         for batch in batches:
             held.append((batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()))
-        if not held:
+            size += batch.nbytes
+            if size > PIECE:
+                h, snips, docs_ = joined(held)
+                last = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
+                yield from settle(h[:last], snips[:last], docs_[:last])
+                held = [(h[last:], snips[last:], docs_[last:])]
+                size = 0 if last else -size  # a larger anchor waits until it has doubled
+        if held:
+            yield from settle(*joined(held))
+
+    def joined(held: list[tuple]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        return np.concatenate([x[0] for x in held]), [s for x in held for s in x[1]], np.concatenate([x[2] for x in held])
+
+    def settle(h: np.ndarray, snips: list[bytes], docs_: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(h):
             return
-        h, docs_ = np.concatenate([x[0] for x in held]), np.concatenate([x[2] for x in held])
-        snips = [s for x in held for s in x[1]]
-        order = np.argsort(h, kind="stable")
-        size = np.cumsum([len(snips[i]) + 1 for i in order.tolist()])
-        # whole anchors, of about PIECE bytes of text at a time
-        edge = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-        part = (size[edge] // PIECE).astype(np.int64)
-        cuts = [*edge[np.flatnonzero(np.r_[True, part[1:] != part[:-1]])].tolist(), len(order)]
+        size = np.cumsum([len(s) + 1 for s in snips])
+        edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        part = size[edge] // PIECE
+        cuts = [*edge[np.flatnonzero(np.r_[True, part[1:] != part[:-1]])].tolist(), len(h)]
         for a, b in zip(cuts, cuts[1:]):
-            idx = order[a:b].tolist()
-            least = decide([snips[i] for i in idx], docs_[idx], length)
-            runs = []
-            for m in least:
-                f = np.flatnonzero(np.r_[True, m[1:] != m[:-1]]) if len(m) > 1 else np.zeros(1, np.int64)
-                runs.append([{"a": x, "b": y - 1 + length, "m": z} for x, y, z in zip(f.tolist(), [*f[1:].tolist(), len(m)], m[f].tolist())])
-            yield pa.RecordBatch.from_arrays([pa.array(h[idx]), pa.array([snips[i] for i in idx], pa.binary()), pa.array(runs, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("m", pa.int64())])))], ["h", "snip", "runs"])
-
-    judged = distinct.select("h", "snip", "doc").repartition("h").mapInArrow(judge, "h long, snip binary, runs array<struct<a: long, b: long, m: long>>")
+            starts, stops, least, counts = [], [], [], []
+            for m in decide(snips[a:b], docs_[a:b], length):
+                f = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+                starts.append(f)
+                stops.append(np.r_[f[1:], len(m)] - 1 + length)
+                least.append(m[f])
+                counts.append(len(f))
+            run = pa.StructArray.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (starts, stops, least)], ["a", "b", "m"])
+            runs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), run)
+            yield pa.RecordBatch.from_arrays([pa.array(h[a:b]), pa.array(snips[a:b], pa.binary()), runs], ["h", "snip", "runs"])
+
+    judged = distinct.select("h", "snip", "doc").repartition("h").sortWithinPartitions("h").mapInArrow(judge, "h long, snip binary, runs array<struct<a: long, b: long, m: long>>")
     judged = materialize(judged.select(F.col("h").alias("h2"), F.xxhash64("snip").alias("s2"), "runs"), "judged")
     _release(spark)
     back = occ.select("doc", "row", "h", "at", "sid").join(judged, (F.col("h") == F.col("h2")) & (F.col("sid") == F.col("s2")))
