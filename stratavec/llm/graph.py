@@ -16,6 +16,8 @@ CELL = 2048
 MOST_BROADCAST = 100_000
 #: Buckets up to this size are tested as whole columns of pairs, this many rows at a time.
 SMALL, CHUNK = 64, 100_000
+#: Values of more sets than this are counted by matrix products.
+FEW = 32
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -66,7 +68,7 @@ def linked_pairs(starts: np.ndarray, ends: np.ndarray, test: Callable[[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def compare_in_buckets(rows: DataFrame, schema: str, compare: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray, bool], Iterator[pa.RecordBatch]], finish: Callable[[], pa.RecordBatch], linked: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray] | None = None, take: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+def compare_in_buckets(rows: DataFrame, schema: str, compare: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray, bool], Iterator[pa.RecordBatch]], finish: Callable[[], pa.RecordBatch], linked: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray] | None = None, take: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], Iterator[pa.RecordBatch]] | None = None, weight: str | None = None, most: int = 1) -> DataFrame:
     """Bring the rows of each bucket (column ``bucket``, long) together and compare them.
 
     compare(columns, mine, others, same) gets numpy columns of a task's rows and the indexes of two sides of a bucket's
@@ -78,13 +80,19 @@ def compare_in_buckets(rows: DataFrame, schema: str, compare: Callable[[dict[str
     With ``linked`` (which of the pairs at two aligned index arrays are links) and ``take`` (gathers linked pairs) the
     buckets of up to SMALL rows are tested as columns. Of these compare gets only the dense ones, with over two links a
     row; the others' links are taken one by one. Rows of a bucket then stand by their first column.
+
+    With ``weight`` (a column, not handed on) a cell also holds about ``most`` of its sum at most. Lists come as a matrix
+    where all are of one length and no weight is given, otherwise as an array of arrays.
     """
     spark = rows.sparkSession
     ship(spark)
-    counts = rows.groupBy("bucket").count().where(F.col("count") > CELL).select("bucket", F.ceil(F.col("count") / CELL).cast("int").alias("cells"))
+    cells = F.ceil(F.count(F.lit(1)) / CELL)
+    if weight:
+        cells = F.greatest(cells, F.ceil(F.sum(weight) / most))
+    counts = rows.groupBy("bucket").agg(cells.cast("int").alias("cells")).where("cells > 1")
     big = materialize(counts, "large-buckets")
     some = big.limit(MOST_BROADCAST + 1).count()
-    names = [c for c in rows.columns if c != "bucket"]
+    names = [c for c in rows.columns if c not in ("bucket", weight)]
     if some:  # 12 bytes a large bucket; beyond the checked number the join is an ordinary one
         rows = rows.join(F.broadcast(big) if some <= MOST_BROADCAST else big, "bucket", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
         rows = rows.withColumn("cell", F.pmod(F.xxhash64(*[F.col(c) for c in names[:1]]), F.col("cells")).cast("int"))
@@ -102,7 +110,11 @@ def compare_in_buckets(rows: DataFrame, schema: str, compare: Callable[[dict[str
         col = {}
         for c in t.column_names:
             x = t[c].combine_chunks() if t[c].num_chunks != 1 else t[c].chunk(0)
-            if pa.types.is_list(x.type):
+            if pa.types.is_list(x.type) and weight:
+                flat, at = x.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))]
+                col[c] = np.empty(len(x), object)
+                col[c][:] = [flat[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+            elif pa.types.is_list(x.type):
                 width = len(x.values) // max(len(x), 1)
                 col[c] = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), width)
             else:
@@ -138,6 +150,33 @@ def compare_in_buckets(rows: DataFrame, schema: str, compare: Callable[[dict[str
     return dealt.repartition(F.xxhash64("bucket", F.shiftright("code", 1))).mapInArrow(run, schema)
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the sizes of the intersections of sets (arrays of distinct values); the diagonal isn't counted.
+
+    Values of few sets are counted pair by pair, those of many (at most 1/FEW of all entries) by matrix products.
+    """
+    n = len(sets)
+    out = np.zeros((n, n), np.int32)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    values = np.concatenate([*sets, np.zeros(0, np.int64)])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])[: len(values)]
+    size = np.diff(np.r_[starts, len(values)])
+    rare = (size > 1) & (size <= FEW)
+    _, i, j = linked_pairs(starts[rare], starts[rare] + size[rare], lambda a, b: np.ones(len(a), bool))
+    np.add.at(out, (owner[i], owner[j]), 1)
+    out += out.T
+    common = np.flatnonzero(size > FEW)
+    for k in range(0, len(common), 2048):
+        part = common[k : k + 2048]
+        has = np.zeros((n, len(part)), np.float32)
+        for c, (s, m) in enumerate(zip(starts[part].tolist(), size[part].tolist())):
+            has[owner[s : s + m], c] = 1
+        out += (has @ has.T).astype(np.int32)  # at most 2,048 a product: exact
+    return out
+
+
 def spanning(links: np.ndarray) -> np.ndarray:
     """Least reachable index of each of n items from their symmetric boolean link matrix."""
     n = len(links)

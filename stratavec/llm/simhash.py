@@ -25,6 +25,8 @@ from stratavec.session import materialize, ship
 from . import graph
 
 _ROWS = 1 << 16
+#: Shingles in a cell of documents that are verified against another one.
+_MOST = 1 << 20
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -137,20 +139,39 @@ def near(nodes: DataFrame, distance: int = 4, spare: float = 4.0) -> DataFrame:
 
 
 def _verified(edges: DataFrame, docs: DataFrame, shingle: int, jaccard: float, text: str, key: str) -> DataFrame:
-    """The edges whose documents' sets of shingles have at least this Jaccard similarity; only their texts are fetched."""
+    """Edges that connect the documents whose sets of shingles have at least this Jaccard similarity.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every two documents of a connected group of candidates are tested, and only then is a spanning forest handed on.
+    Texts are fetched for members of such groups alone, their sets once a document; large groups are dealt into cells.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.unique(shingle_hashes(t.as_py(), shingle)) for t in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= jaccard * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-    one = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_k")).agg(F.min(F.col(text).cast("string")).alias("_t"))
-    pairs = edges.distinct().join(one.withColumnsRenamed({"_k": "a", "_t": "ta"}), "a").join(one.withColumnsRenamed({"_k": "b", "_t": "tb"}), "b")
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(2)]
+            size = pa.array([len(x) for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64())), size], ["bucket", "node", "set", "size"])
+
+    def compare(col, mine, others, same):
+        idx = mine if same else np.r_[mine, others]
+        idx = idx[np.argsort(col["node"][idx], kind="stable")]
+        size = np.array([len(x) for x in col["set"][idx]])
+        both = graph.overlaps(list(col["set"][idx]))
+        child, parent = graph.tree(both >= jaccard * (size[:, None] + size[None, :] - both))
+        out.append((col["node"][idx[parent]], col["node"][idx[child]]))
+        if len(out) > 5_000:
+            yield flush()
+
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush():
+        pairs = [np.concatenate([x[k] for x in out] + [np.zeros(0, np.int64)]) for k in (0, 1)]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
+
+    members = graph.components(edges, "candidates").select(F.col("component").alias("bucket"), F.col("node"))
+    texts = members.join(docs.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("_t")), "node").select("bucket", "node", "_t").distinct()
+    rows = materialize(texts.mapInArrow(sets, "bucket long, node long, set array<long>, size long"), "sets")
+    return graph.compare_in_buckets(rows, "a long, b long", compare, finish=flush, weight="size", most=_MOST)
 
 
 def groups(docs: DataFrame, shingle: int = 4, distance: int = 4, functions: int = 1, jaccard: float | None = None, spare: float = 4.0, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -184,6 +184,44 @@ def test_simhash(docs, empty, rows, monkeypatch):
     assert near[5] == near[6] == 4 and near[12] == 12
 
 
+def near_copies(n=120, words=200, edits=4, seed=7):
+    """Copies of one text with a few words replaced, the text itself in the middle of the ids; most pairs of copies are below 0.8."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        if i != n // 2:
+            for k in r.sample(range(words), edits):
+                w[k] = f"x{r.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def brute_near(texts, shingle=5, least=0.8):
+    sets = [set(simhash.shingle_hashes(t, shingle).tolist()) for t in texts]
+    return brute_components(len(texts), lambda a, b: len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]))
+
+
+@pytest.mark.parametrize("cell", [2048, 50])
+def test_near_copies_whose_centre_is_not_the_least(spark, monkeypatch, cell):
+    monkeypatch.setattr(graph, "CELL", cell)
+    texts = near_copies()
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.groups(table, 5, 7, 4, jaccard=0.8, spare=64.0).collect()}
+    want = brute_near(texts)
+    assert set(want.values()) == {0} and got == want
+
+
+def test_overlaps(monkeypatch):
+    rng = np.random.default_rng(4)
+    for few in (32, 3):
+        monkeypatch.setattr(graph, "FEW", few)
+        sets = [np.unique(rng.integers(0, 60, k)) for k in (0, 5, 20, 40, 60, 60, 1, 0)] * 2
+        got = graph.overlaps(sets)
+        assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(16) for j in range(16) if i != j)
+
+
 @pytest.mark.parametrize("distance", [2, 4, 7])
 def test_block_keys_find_every_pair(distance):
     r = random.Random(3)
