@@ -12,6 +12,7 @@ document; null keys are left out of the links and get a null component.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -67,20 +68,27 @@ def remixed(h: np.ndarray, k: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, functions: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, fps): a fingerprint for each hash function, the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, functions: int = 1, text: str = "text", key: str = "doc_id", sets: bool = False) -> DataFrame:
+    """(doc_id, fps): a fingerprint for each hash function, the 64 bits as a signed long.
+
+    ``sets`` counts a repeated shingle once and adds ``set_id``, a digest of the set of shingle hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.empty((batch.num_rows, functions), np.uint64)
+            fps, ids = np.empty((batch.num_rows, functions), np.uint64), []
             for i, t in enumerate(batch.column(1)):
                 h = shingle_hashes(t.as_py(), shingle)
+                if sets:
+                    h = np.unique(h)
+                    ids.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 fps[i] = [majority(remixed(h, k)) for k in range(functions)]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * functions, pa.int32()), pa.array(fps.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["doc_id", "fps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat, *([pa.array(ids, pa.binary())] if sets else [])], ["doc_id", "fps", "set_id"][: 2 + sets])
 
     ship(docs.sparkSession)
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fps array<long>")
+    schema = "doc_id long, fps array<long>" + ", set_id binary" * sets
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def block_keys(n: int, distance: int, spare: float = 4.0) -> list[int]:
@@ -178,15 +186,17 @@ def groups(docs: DataFrame, shingle: int = 4, distance: int = 4, functions: int
     """(doc_id, fps, component_id) for every document; component_id is the least id reachable over links.
 
     With several hash functions a pair within the distance by any of them is a candidate; ``jaccard`` then keeps the
-    candidates whose shingle sets are that similar. One 64-bit fingerprint with a short distance finds few of the pairs
-    at 0.8; several with a longer one find most.
+    candidates whose shingle sets are that similar. There fingerprints are those of the sets, only documents with
+    equal sets are one node, and equal fingerprints are candidates like others. One 64-bit fingerprint with a short
+    distance finds few of the pairs at 0.8; several with a longer one find most.
     """
-    fps = materialize(fingerprints(docs, shingle, functions, text, key), "fingerprints")
-    nodes = materialize(fps.where("doc_id is not null").groupBy("fps").agg(F.min("doc_id").alias("node")), "nodes")
+    same = "fps" if jaccard is None else "set_id"
+    fps = materialize(fingerprints(docs, shingle, functions, text, key, sets=jaccard is not None), "fingerprints")
+    nodes = materialize(fps.where("doc_id is not null").groupBy(*{"fps": 0, same: 0}).agg(F.min("doc_id").alias("node")), "nodes")
     edges = materialize(near(nodes, distance, spare), "near")
     if jaccard is not None:
         edges = _verified(edges, docs, shingle, jaccard, text, key)
     comp = graph.components(edges)
-    by_fp = nodes.join(comp, "node", "left").select("fps", F.coalesce("component", "node").alias("component_id"))
-    out = fps.join(by_fp, "fps", "left")
+    by_node = nodes.join(comp, "node", "left").select(same, F.coalesce("component", "node").alias("component_id"))
+    out = fps.join(by_node, same, "left")
     return out.select("doc_id", "fps", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -222,6 +222,15 @@ def test_overlaps(monkeypatch):
         assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(16) for j in range(16) if i != j)
 
 
+def test_equal_fingerprints_alone_are_no_copies(spark):
+    fill = " a" * 500
+    texts = [" ".join(f"{c}{i}" for i in range(300)) + fill for c in "pqr"]
+    texts += [texts[0], texts[0] + " a a", texts[1] + " z"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.groups(table, 5, 7, 4, jaccard=0.8, spare=64.0).collect()}
+    assert got == brute_near(texts) == {0: 0, 1: 1, 2: 2, 3: 0, 4: 0, 5: 1}
+
+
 @pytest.mark.parametrize("distance", [2, 4, 7])
 def test_block_keys_find_every_pair(distance):
     r = random.Random(3)
