@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from stratavec.llm import coder, graph, idfile, jpeg, linechunks, mixing, packing, rpforest, sharding, simhash, substrings, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -231,6 +232,20 @@ def test_equal_fingerprints_alone_are_no_copies(spark):
     assert got == brute_near(texts) == {0: 0, 1: 1, 2: 2, 3: 0, 4: 0, 5: 1}
 
 
+def test_pairs_just_above_the_least_similarity_are_found(spark):
+    r = random.Random(11)
+    texts = []
+    for _ in range(60):  # one word in the middle and a new end: similarity 0.80 to 0.83
+        w = [f"w{r.randrange(10**6)}" for _ in range(120)]
+        v = w[:50] + ["new"] + w[51:112] + [f"x{r.randrange(10**6)}" for _ in range(r.randint(3, 5))]
+        texts += [" ".join(w), " ".join(v)]
+    want = brute_near(texts)
+    assert sum(i != c for i, c in want.items()) == 60
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = corpus_pipeline.dedup_documents(spark, table.selectExpr("doc_id", "text", "'en' lang", "'a' source", "1L n_chars"), "")
+    assert {x.doc_id for x in out.collect()} == {i for i, c in want.items() if i == c}
+
+
 @pytest.mark.parametrize("distance", [2, 4, 7])
 def test_block_keys_find_every_pair(distance):
     r = random.Random(3)
