@@ -246,6 +246,16 @@ def test_pairs_just_above_the_least_similarity_are_found(spark):
     assert {x.doc_id for x in out.collect()} == {i for i, c in want.items() if i == c}
 
 
+def test_document_stage_keeps_null_ids_and_takes_rows_of_an_id_together(spark):
+    r = random.Random(2)
+    p, q, s = (" ".join(f"{c}{r.randrange(10**6)}" for _ in range(60)) for c in "pqs")
+    rows = [(1, p), (2, p), (3, q), (None, p), (None, s), (None, None), (4, None), (5, ""), (7, s), (7, q + " x"), (8, s)]
+    table = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], SCHEMA)
+    out = corpus_pipeline.dedup_documents(spark, table, "").collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.text or "") for x in out) == sorted([(False, 1, p), (False, 3, q), (True, 0, p), (True, 0, s), (True, 0, ""), (False, 4, "")])
+    assert corpus_pipeline.dedup_documents(spark, table.limit(0), "").count() == 0
+
+
 @pytest.mark.parametrize("distance", [2, 4, 7])
 def test_block_keys_find_every_pair(distance):
     r = random.Random(3)
