@@ -79,6 +79,40 @@ def dedup(docs: DataFrame, every: int = EVERY, text: str = "text", key: str = "d
     return cut.select(*[values.get(c, F.col(own[c])).alias(c) for c in names], *stats)
 
 
+_DIGEST = "unhex(substring(sha2({x}, 256), 1, 32))"
+_HASHED = f"transform(_split, x -> {_DIGEST.format(x='cast(x as binary)')})"
+_PAIRS = f"transform(filter(sequence(1, size(_x.h)), i -> i < size(_x.h)), i -> struct(i as a, i + 1 as b, {_DIGEST.format(x='concat(element_at(_x.h, i), element_at(_x.h, i + 1))')} as d))"
+_LONG = "transform(filter(sequence(1, size(_x.h)), i -> length(element_at(_x.l, i)) >= 2 * {n} - 1 and size(split(trim(element_at(_x.l, i)), '[ \\\\t\\\\r]+')) >= {n}), i -> struct(i as a, i as b, element_at(_x.h, i) as d))"
+
+
+def dedup_passages(docs: DataFrame, long_line: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with the repeated passages gone from the text, plus removed_lines.
+
+    Every two consecutive lines, and every line of ``long_line`` words or more, are a window; the first of equal windows
+    (ordered as in :func:`dedup`) stays, the others' lines go. So a repeated run of two or more lines goes whole, however
+    short and wherever chunks would end, and the first occurrence of every line stays. Windows are equal where 128 bits
+    of SHA-256 are, so digests alone are shuffled. The results for nulls, equal rows and ``n_chars`` are those of :func:`dedup`.
+    """
+    names = docs.columns
+    own = {c: f"_c{i}" for i, c in enumerate(names)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(own[c]) for c in names])
+    k, t = own[key], own[text]
+    narrow = rows.where(F.col(t).isNotNull()).select(F.col(k).alias("_id"), F.xxhash64(F.col(t).cast("string")).alias("_row"), F.split(F.col(t).cast("string"), "\n", -1).alias("_split"))
+    hashed = narrow.withColumn("_x", F.explode(F.array(F.struct(F.col("_split").alias("l"), F.expr(_HASHED).alias("h")))))  # see chunked
+    found = hashed.select("_id", "_row", F.explode(F.expr(f"concat({_PAIRS}, {_LONG.format(n=long_line)})")).alias("_w")).select("_id", "_row", "_w.*")
+    place = F.struct("_id", "_row", "a")
+    first = found.groupBy(F.col("d").alias("_d")).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    again = found.join(first, F.col("d") == F.col("_d")).where(~place.eqNullSafe(F.col("_first")))
+    gone = again.select("_id", "_row", F.explode(F.array("a", "b")).alias("_line")).groupBy("_id", "_row").agg(F.collect_set("_line").alias("_gone"))
+    joined = rows.withColumn("_hit", F.xxhash64(F.col(t).cast("string"))).join(gone, F.col(k).eqNullSafe(F.col("_id")) & (F.col("_hit") == F.col("_row")), "left")
+    cut = joined.withColumn("_split", F.split(F.col(t).cast("string"), "\n", -1))
+    new = F.expr("array_join(transform(array_except(sequence(1, size(_split)), _gone), i -> element_at(_split, i)), '\n')")
+    cut = cut.withColumn("_new", F.when(F.col("_gone").isNull(), F.col(t)).otherwise(new))
+    values = {text: F.col("_new"), "n_chars": F.length("_new").cast("long")}
+    removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("removed_lines")
+    return cut.select(*[values.get(c, F.col(own[c])).alias(c) for c in names], removed)
+
+
 SQL = """
 WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 h AS (SELECT *, list_transform(lines, lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS h FROM l),

@@ -146,6 +146,39 @@ def test_line_chunks(docs, empty, rows):
     assert linechunks.dedup(empty).count() == 0
 
 
+def brute_passages(rows, long_line=50):
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
+        lines, gone = (t or "").split("\n"), set()
+        spans = [(a, a + 2) for a in range(len(lines) - 1)] + [(a, a + 1) for a, x in enumerate(lines) if len(x.split()) >= long_line]
+        for a, b in spans:
+            w = tuple(lines[a:b])
+            if w in seen and t is not None:
+                gone |= set(range(a, b))
+            seen.add(w)
+        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        if not gone or kept.strip(" "):
+            out.append((i, t if t is None else kept))
+    return out
+
+
+def test_line_stage_takes_short_repeated_passages(spark, rows):
+    r = random.Random(8)
+    line = lambda n=14: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passages = [[line() for _ in range(k)] for k in (2, 2, 2, 3, 3, 4, 5)] + [[line(60)]]
+    texts = [(i, t) for i, t, *_ in rows]
+    for i, p in enumerate(passages * 2):
+        texts.append((100 + i, "\n".join([line(), line(), *p, line()])))
+    texts += [(None, texts[-1][1] + "\nend"), (200, "\n".join(["x", "y"] * 3)), (201, "\n".join(passages[0]))]
+    table = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts], SCHEMA).repartition(3)
+    out = corpus_pipeline.dedup_lines(spark, table, "").collect()
+    got = {x.doc_id: x.text for x in out}
+    assert got == dict(brute_passages(texts)) and len(out) == len(got) and 201 not in got
+    assert all(not any(x in got.get(108 + i, "").split("\n") for x in p) for i, p in enumerate(passages))
+    assert all(x.n_chars == len(x.text) for x in out if x.text is not None)
+    assert corpus_pipeline.dedup_lines(spark, table.limit(0), "").count() == 0
+
+
 def brute_components(n, linked):
     parent = list(range(n))
 
