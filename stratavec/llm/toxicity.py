@@ -2,7 +2,7 @@
 
 Disguises are leetspeak (1d10t), spacing (s t u p i d, s-t-u-p-i-d) and repetition (stuuupid). A disguised word is a
 lattice: every character has the letters it may stand for, with a channel cost; separators may vanish; a run of one
-letter may be shorter. Viterbi search finds the cheapest path under channel plus a character trigram model, whose
+letter may be shorter; in runs of single letters words may end anywhere. Viterbi search finds the cheapest path under channel plus a character trigram model, whose
 counts come from all documents. Words without signs of disguise are taken as they are.
 
 The score's features are restored words and beginnings of words. One pass over a bounded sample of labelled documents
@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +40,15 @@ _ALPHABET = 28
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "<": "c", "£": "l", "¡": "i"}
 _SEPARATORS = "-_.*~·•'`^"
 _COST = {"same": 0.0, "leet": 1.0, "drop": 0.5, "shorter": 0.3, "keep_sign": 6.0}
-_LONGEST = 40  # longer runs of signs and letters (hashes, addresses) aren't words
+_KEPT = 40  # longer strings are decoded but not remembered, if they aren't numbers or hex digests
 
 _SIGNS = re.escape("".join(LEET) + _SEPARATORS)
 _MARKED = re.compile(rf"(?=\S*[^\W\d_])(?=\S*(?:[{_SIGNS}]|(\w)\1\1))\S+")
 _SPACED = re.compile(rf"(?<!\S)(?:[\w@$!|+][ ]+){{2,}}[\w@$!|+](?![^\s.,;:?!])")
 _QUICK = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|([^\W\d_])\1\1")
 _WORD = re.compile(r"[^\W\d_]+")
+_CODE = re.compile(r"\d+|(?=.*\d)(?!.*(.)\1{4})[0-9a-f]+")
+_GAP = re.compile(r" {2,}")
 
 
 def _code(text: str) -> np.ndarray:
@@ -94,8 +96,11 @@ def language_model(counts: np.ndarray) -> list:
     return (-np.log(p3)).tolist()
 
 
-def decode(word: str, lm: list) -> str:
-    """The word a lower-case string of letters, signs and separators most likely stands for (Viterbi)."""
+def decode(word: str, lm: list, edges: bool = False) -> str:
+    """The word a lower-case string of letters, signs and separators most likely stands for (Viterbi).
+
+    With ``edges`` a word may end between any two letters; the words come with blanks between them.
+    """
     # lattice: per position, the choices (symbols emitted, cost)
     steps: list[list[tuple[str, float]]] = []
     i, n = 0, len(word)
@@ -111,51 +116,80 @@ def decode(word: str, lm: list) -> str:
             if ch in _SEPARATORS or (i == 0 or j == n) and not ch.isdigit():
                 choices.append(("", _COST["drop"]))
             choices.append((ch * run, _COST["keep_sign"] * run))
+        if edges and run == 2:
+            choices += [(x[0] + " " + x[1], c) for x, c in choices if len(x) == 2]
+        if edges and i:
+            choices += [(" " + x, c) for x, c in choices if x]
         steps.append(choices)
         i = j
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+
+    def said(path) -> str:
+        out = []
+        while path:
+            path, x = path
+            out.append(x)
+        return "".join(reversed(out))
+
+    # states are the last two symbols; paths are linked backwards, so that time is linear in the length
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for choices in steps:
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a0, b0), (cost, said) in best.items():
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a0, b0), (cost, path) in best.items():
             for out, extra in choices:
                 a, b, total = a0, b0, cost + extra
                 for ch in out:
-                    c = ord(ch) - 96 if "a" <= ch <= "z" else 27
+                    c = ord(ch) - 96 if "a" <= ch <= "z" else 0 if ch == " " else 27
                     total += lm[a][b][c]
                     a, b = b, c
                 old = nxt.get((a, b))
-                if old is None or (total, said + out) < old:
-                    nxt[a, b] = total, said + out
+                if old is None or total < old[0] or total == old[0] and n <= _KEPT and said((path, out)) < said(old[1]):
+                    nxt[a, b] = total, (path, out)
         best = nxt
-    return min((cost + lm[a][b][0], said) for (a, b), (cost, said) in best.items())[1]
+    return min((cost + lm[a][b][0], said(path)) for (a, b), (cost, path) in best.items())[1]
 
 
 class Restorer:
-    """Restores whole texts; remembers words it has decoded."""
+    """Restores whole texts; remembers words it has decoded.
+
+    In runs of single letters it also finds the words of ``lex`` (of four letters or more) wherever they stand: trigrams
+    alone don't always tell where words end.
+    """
 
-    def __init__(self, lm: list):
+    def __init__(self, lm: list, lex: Iterable[str] = ()):
         self.lm, self.known = lm, {}
+        self.lex = {w for w in lex if len(w) >= 4 and w.isalpha()}
+        self.lengths = sorted({len(w) for w in self.lex})
 
-    def word(self, w: str) -> str:
-        got = self.known.get(w)
+    def word(self, w: str, edges: bool = False) -> str:
+        got = self.known.get((w, edges))
         if got is None:
-            got = decode(w, self.lm) if len(w) <= _LONGEST else w
-            if len(self.known) < 200_000:
-                self.known[w] = got
+            got = w if len(w) > _KEPT and _CODE.fullmatch(w) else decode(w, self.lm, edges)
+            if len(self.known) < 200_000 and len(w) <= _KEPT:
+                self.known[w, edges] = got
         return got
 
+    def spaced(self, run: str) -> list[str]:
+        """The words of a run of single letters: one between two wide gaps (two or more blanks, if there are narrower ones), split further where the model says so."""
+        parts = _GAP.split(run) if re.search(r"\S \S", run) else [run]
+        return [w for x in parts for w in self.word("".join(x.split()), True).split()]
+
+    def within(self, letters: str) -> set[str]:
+        """The words of the lexicon that stand anywhere in a string."""
+        return {letters[i : i + k] for k in self.lengths for i in range(len(letters) - k + 1)} & self.lex
+
     def extra(self, text: str) -> list[str]:
         """Restored forms of the disguised words of a lower-case text."""
         out = [self.word(m.group()) for m in _MARKED.finditer(text)] if _QUICK.search(text) else []
         for m in _SPACED.finditer(text):
             letters = "".join(m.group().split())
-            out += [self.word(letters), self.word(letters[1:])]  # the first may be a word such as "a"
+            out += [self.word(letters), self.word(letters[1:]), *self.spaced(m.group())]  # the first may be a word such as "a"
+            out += self.within(self.word(letters))
         return [w for x in out for w in _WORD.findall(x)]
 
     def text(self, text: str) -> str:
         """The restored text."""
         low = text.lower()
-        low = _SPACED.sub(lambda m: self.word("".join(m.group().split())), low)
+        low = _SPACED.sub(lambda m: " ".join(self.spaced(m.group())), low)
         return _MARKED.sub(lambda m: self.word(m.group()), low) if _QUICK.search(low) else low
 
 
@@ -232,7 +266,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, lex, base = held.value
-        rest = Restorer(lm)
+        rest = Restorer(lm, lex)
         for batch in batches:
             got = [score_words(words(t, rest), lex, base) if t else base for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != 1), pa.array(got, pa.float64())], [*names, "score"])

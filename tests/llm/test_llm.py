@@ -395,6 +395,20 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, labels).count() == 0
 
 
+def test_toxicity_in_long_disguises(spark):
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
+    r = random.Random(1)
+    data = [(i, " ".join(r.choice(words) for _ in range(30)) + (" stupid idiot" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(240)]
+    calm = "bal dem gor fil dun bem gal fur dom bir gel fam dor bun"
+    hidden = ["y o u i d i o t", "b a l  d e m  i d i o t", " ".join((calm + "idiot").replace(" ", "")), " ".join((calm + "stupid" + calm).replace(" ", "")), "s" + "t" * 60 + "upid", "i-d-i-" + "o" * 50 + "-t", " ".join("b" * 30 + "1d10t")]
+    clean = [" ".join(calm.replace(" ", "")), "a " * 400, "9f" * 30 + "0", "ab0" * 5000, "x" * 90]
+    table = spark.createDataFrame(data + [(1000 + i, f"bal {t} dem", 0) for i, t in enumerate(hidden)] + [(2000 + i, f"bal {t} dem", 0) for i, t in enumerate(clean)], "doc_id long, text string, toxic int")
+    labels = table.where("doc_id < 900").where(~toxicity.held_out()).select("doc_id", "toxic")
+    got = {x.doc_id: x.score for x in toxicity.score(table.select("doc_id", "text"), labels).collect()}
+    assert [k for k in range(len(hidden)) if got[1000 + k] < 0.7] == []
+    assert [k for k in range(len(clean)) if got[2000 + k] > 0.1] == []
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 10), (10, 11), (11, 12), (3, 40), (7, 7), (12, 50), (50, 60)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
