@@ -109,6 +109,18 @@ def default_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def byte_groups(column, most: int = 2_000_000):
+    """Slices [a, b) of an Arrow string column, so that one holds a bounded amount of text (a single longer text stands alone)."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a, n = 0, len(ends)
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
 def text_groups(texts: list, most_chars: int = 2_000_000):
     """Slices of texts, so that one call holds a bounded amount of text (a single longer text stands alone)."""
     start = held = 0

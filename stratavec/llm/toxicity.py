@@ -3,23 +3,25 @@
 Disguises are leetspeak (1d10t), spacing (s t u p i d, s-t-u-p-i-d) and repetition (stuuupid). A disguised word is a
 lattice: every character has the letters it may stand for, with a channel cost; separators may vanish; a run of one
 letter may be shorter; in runs of single letters words may end anywhere. Viterbi search finds the cheapest path under channel plus a character trigram model, whose
-counts come from all documents. Words without signs of disguise are taken as they are.
+counts come from all documents. Words without signs of disguise are taken as they are; of disguised ones only the restored form counts.
 
 The score's features are restored words and beginnings of words. One pass over a bounded sample of labelled documents
-(``sample`` rows by seeded hash; copies and near copies among them, told by a min-hash of word trigrams, count once)
-counts how often each occurs in toxic and other documents; those that speak for toxicity form a lexicon of at most
-``LEXICON`` features with a precision q (lower confidence bound), and a text's score is 1 - (1 - base) * (1 - q1) * prod(sqrt(1 - qk)) over
-its words' strongest features, q1 being the largest.
+(``sample`` rows by seeded hash; copies and near copies among them, told by a min-hash of word trigrams, count once, with their mean label)
+counts how often each occurs in toxic and other documents; all those that speak for toxicity, by a precision q (lower
+confidence bound), form a lexicon, whose size the sample bounds. A text's score is 1 - (1 - base) * (1 - q1) * prod(sqrt(1 - qk)) over
+its words' strongest features, q1 being the largest; ``base`` is the share of toxic documents among the sampled ones without any feature.
 
-Defined results: null and empty texts score ``base``; rows are scored one by one, so repeated ids don't matter; without
-toxic labels every score is ``base``.
+A text is split at white space once. A worker remembers what a token speaks for, so most tokens cost one look-up; texts are
+taken in slices of bounded size, and a long text costs time in proportion to its length.
+
+Defined results: null and empty texts score ``base``; rows are scored one by one, so repeated rows and null ids don't matter; without
+toxic labels every score is ``base``; labels of null ids or null labels aren't learned; a carried column named ``score`` gives way to the result; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,7 +35,10 @@ from stratavec.session import materialize, ship
 from . import tokens
 from .sharding import seeded_hash
 
-LEXICON = 20_000
+#: Precision and toxic documents that a feature of the lexicon has at least.
+PRECISION, SUPPORT = 0.4, 4
+#: Bytes of text a worker handles at a time, and tokens it remembers.
+SLICE, REMEMBERED = 1 << 20, 300_000
 # Model alphabet: 0 word edge, 1-26 a-z, 27 any other character.
 _ALPHABET = 28
 # The letters a sign may stand for in leetspeak.
@@ -43,12 +48,15 @@ _COST = {"same": 0.0, "leet": 1.0, "drop": 0.5, "shorter": 0.3, "keep_sign": 6.0
 _KEPT = 40  # longer strings are decoded but not remembered, if they aren't numbers or hex digests
 
 _SIGNS = re.escape("".join(LEET) + _SEPARATORS)
-_MARKED = re.compile(rf"(?=\S*[^\W\d_])(?=\S*(?:[{_SIGNS}]|(\w)\1\1))\S+")
+# a token (no white space) with a letter and a sign, or with a letter three times in a row
+_LETTER = re.compile(r"[^\W\d_]")
+_SIGN, _TRIPLE = re.compile(f"[{_SIGNS}]"), re.compile(r"(\w)\1\1")
 _SPACED = re.compile(rf"(?<!\S)(?:[\w@$!|+][ ]+){{2,}}[\w@$!|+](?![^\s.,;:?!])")
-_QUICK = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|([^\W\d_])\1\1")
+_SINGLES = re.compile(r" \S +\S(?![^\s.,;:?!])")  # stands in every such run
 _WORD = re.compile(r"[^\W\d_]+")
 _CODE = re.compile(r"\d+|(?=.*\d)(?!.*(.)\1{4})[0-9a-f]+")
 _GAP = re.compile(r" {2,}")
+_EDGE = ".,;:!?\"'()[]"
 
 
 def _code(text: str) -> np.ndarray:
@@ -71,9 +79,8 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_ALPHABET**3, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in tokens.text_groups(texts):
-                s = _code(" " + "  ".join((t or "").lower() for t in texts[a:b]) + " ")
+            for a, b in tokens.byte_groups(batch.column(0)):
+                s = _code(" " + "  ".join((t or "").lower() for t in batch.column(0).slice(a, b - a).to_pylist()) + " ")
                 total += np.bincount((s[:-2] * _ALPHABET + s[1:-1]) * _ALPHABET + s[2:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["t", "n"])
@@ -177,34 +184,79 @@ class Restorer:
         """The words of the lexicon that stand anywhere in a string."""
         return {letters[i : i + k] for k in self.lengths for i in range(len(letters) - k + 1)} & self.lex
 
-    def extra(self, text: str) -> list[str]:
-        """Restored forms of the disguised words of a lower-case text."""
-        out = [self.word(m.group()) for m in _MARKED.finditer(text)] if _QUICK.search(text) else []
-        for m in _SPACED.finditer(text):
-            letters = "".join(m.group().split())
-            out += [self.word(letters), self.word(letters[1:]), *self.spaced(m.group())]  # the first may be a word such as "a"
-            out += self.within(self.word(letters))
+    def token(self, token: str) -> list[str]:
+        """The restored words of one lower-case token."""
+        bare = token.strip(_EDGE)
+        if bare.isalpha() and not _TRIPLE.search(bare) and token[0] not in LEET:
+            return [bare]
+        rest = token.rstrip(_EDGE)  # a sign that ends a sentence stands for no letter
+        if _LETTER.search(rest) and (_SIGN.search(rest) or _TRIPLE.search(rest)):
+            return _WORD.findall(self.word(rest))
+        return [bare] if bare else []
+
+    def runs(self, text: str) -> list[str]:
+        """Restored words of the runs of single letters of a lower-case text."""
+        out = []
+        if _SINGLES.search(text):
+            for m in _SPACED.finditer(text):
+                letters = "".join(m.group().split())
+                out += [self.word(letters), self.word(letters[1:]), *self.spaced(m.group())]  # the first may be a word such as "a"
+                out += self.within(self.word(letters))
         return [w for x in out for w in _WORD.findall(x)]
 
     def text(self, text: str) -> str:
         """The restored text."""
         low = text.lower()
         low = _SPACED.sub(lambda m: " ".join(self.spaced(m.group())), low)
-        return _MARKED.sub(lambda m: self.word(m.group()), low) if _QUICK.search(low) else low
+        return re.sub(r"\S+", lambda m: " ".join(self.token(m.group())) or m.group(), low)
 
 
 def words(text: str, restorer: Restorer) -> set[str]:
-    """Distinct words of the restored text (disguised ones in both forms)."""
+    """Distinct words of the restored text."""
     low = text.lower()
-    out = {w.strip(".,;:!?\"'()[]") for w in set(low.split())}
-    out.update(restorer.extra(low))
-    out.discard("")
+    out = {w for t in set(low.split()) for w in restorer.token(t)}
+    out.update(restorer.runs(low))
     return out
 
 
-def features(found: set[str]) -> set[str]:
-    """The words, and beginnings of 4 to 6 letters of longer ones."""
-    return found | {"^" + w[:k] for w in found for k in (4, 5, 6) if len(w) > k}
+def beginnings(word: str) -> list[str]:
+    """The features of a word: itself, and its first 4 to 6 letters if it is longer."""
+    return [word] + ["^" + word[:k] for k in (4, 5, 6) if len(word) > k]
+
+
+class Scorer:
+    """Scores whole texts; remembers what a token speaks for."""
+
+    def __init__(self, lm: list, lex: dict[str, float], base: float):
+        self.rest, self.lex, self.base = Restorer(lm, lex), lex, base
+        self.known: dict[str, tuple] = {}
+        self.heads = {f.removeprefix("^")[:4] for f in lex}
+
+    def speaks(self, found: Iterable[str]) -> tuple:
+        """(word, precision of its strongest feature) of the words that have one."""
+        rated = ((w, max(self.lex.get(f, 0.0) for f in beginnings(w))) for w in found if w[:4] in self.heads)
+        return tuple(x for x in rated if x[1])
+
+    def score(self, text: str | None) -> float:
+        if not text:
+            return self.base
+        low = text.lower()
+        tokens_ = set(low.split())
+        said = list(map(self.known.get, tokens_))
+        if None in said:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            for i, t in enumerate(tokens_):
+                if said[i] is None:
+                    said[i] = self.speaks(self.rest.token(t))
+                    if len(t) <= _KEPT:
+                        self.known[t] = said[i]
+        spoken = dict(x for s in said if s for x in s)
+        spoken.update(self.speaks(self.rest.runs(low)))
+        total = math.log1p(-self.base)
+        for k, q in enumerate(sorted(spoken.values(), reverse=True)):
+            total += math.log1p(-min(q, 0.999)) * (0.5 if k else 1.0)  # features after the first aren't independent of it
+        return -math.expm1(total)
 
 
 def _sketch(text: str) -> int:
@@ -214,7 +266,7 @@ def _sketch(text: str) -> int:
     return min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) - (1 << 63)
 
 
-def lexicon(docs: DataFrame, labels: DataFrame, lm: list, sample: int = 20_000, seed: int = 17, least: int = 4, text: str = "text", key: str = "doc_id") -> tuple[dict[str, float], float]:
+def lexicon(docs: DataFrame, labels: DataFrame, lm: list, sample: int = 20_000, seed: int = 17, least: int = SUPPORT, text: str = "text", key: str = "doc_id") -> tuple[dict[str, float], float]:
     """Feature: precision, and the base score. labels: doc_id, toxic (the caller leaves out what mustn't be learned)."""
     few = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_k"), F.col("toxic").cast("int").alias("_y")).withColumn("_o", seeded_hash(seed, "_k")).orderBy("_o", "_k", "_y").limit(sample).drop("_o")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("_k")).select("doc_id", "text", "_y")  # at most `sample` rows
@@ -222,38 +274,25 @@ def lexicon(docs: DataFrame, labels: DataFrame, lm: list, sample: int = 20_000,
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = Restorer(lm)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            keys = [_sketch(t or "") for t in texts]
-            feats = [sorted(features(words(t or "", rest))) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(2), pa.array(feats, pa.list_(pa.string()))], ["k", "y", "f"])
+            for a, b in tokens.byte_groups(batch.column(1), SLICE):
+                texts = batch.column(1).slice(a, b - a).to_pylist()
+                feats = [sorted({f for w in words(t or "", rest) for f in beginnings(w)}) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([_sketch(t or "") for t in texts], pa.int64()), batch.column(2).slice(a, b - a), pa.array(feats, pa.list_(pa.string()))], ["k", "y", "f"])
 
     ship(docs.sparkSession)
-    seen = rows.mapInArrow(sketch, "k long, y int, f array<string>").groupBy("k").agg(F.max_by(F.struct("y", "f"), F.struct("y", F.size("f"))).alias("x")).select("x.y", "x.f")
+    seen = rows.mapInArrow(sketch, "k long, y int, f array<string>").groupBy("k").agg(F.avg("y").alias("y"), F.max_by("f", F.struct(F.size("f"), "f")).alias("f")).drop("k")
     seen = materialize(seen, "toxic-sample")
     n_pos, n_all = seen.agg(F.sum("y"), F.count(F.lit(1))).first()
     if not n_pos:
-        return {}, 0.02
+        return {}, 1 / (n_all + 2)
     counts = seen.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
     # lower end of the Wilson interval at two standard deviations
     share = F.col("pos") / F.col("n")
     low = (share + 2 / F.col("n") - 2 * F.sqrt(share * (1 - share) / F.col("n") + 1 / (F.col("n") * F.col("n")))) / (1 + 4 / F.col("n"))
-    strong = counts.where(F.col("pos") >= least).withColumn("q", low).where("q >= 0.4").orderBy(F.desc("pos"), "f").limit(LEXICON)
-    return {f: float(q) for f, q in strong.select("f", "q").collect()}, 0.02
-
-
-def score_words(found: set[str], lex: dict[str, float], base: float) -> float:
-    total = math.log1p(-base)
-    spoken = []
-    for w in found:
-        q = lex.get(w, 0.0)
-        for k in (4, 5, 6):
-            if len(w) > k:
-                q = max(q, lex.get("^" + w[:k], 0.0))
-        if q:
-            spoken.append(q)
-    for k, q in enumerate(sorted(spoken, reverse=True)):
-        total += math.log1p(-min(q, 0.999)) * (0.5 if k else 1.0)  # features after the first aren't independent of it
-    return -math.expm1(total)
+    strong = counts.where(F.col("pos") >= least).withColumn("q", low).where(F.col("q") >= PRECISION).select("f", "q")
+    lex = {f: float(q) for f, q in strong.collect()}  # each occurs in `least` or more of the sample's toxic documents
+    rest_pos, rest_all = seen.where(~F.arrays_overlap("f", F.array(*[F.lit(f) for f in sorted(lex)]))).agg(F.sum("y"), F.count(F.lit(1))).first() if lex else (n_pos, n_all)
+    return lex, ((rest_pos or 0.0) + 1) / (rest_all + 2)
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
@@ -262,20 +301,23 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, text: str =
     ship(spark)
     lm = language_model(trigram_counts(docs, text))
     lex, base = lexicon(docs, labels, lm, sample, text=text, key=key)
-    held = spark.sparkContext.broadcast((lm, lex, base))  # 28^3 costs and at most LEXICON features
+    held = spark.sparkContext.broadcast((lm, lex, base))  # 28^3 costs, and the lexicon, which the sample bounds
+    carry = [c for c in (carry or [key]) if c != "score"]
+    own = [f"c{i}" for i in range(len(carry))]  # carried columns can't clash with the working ones
+    sent = text in carry and dict(docs.dtypes)[text] == "string"
+    at = carry.index(text) if sent else len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, lex, base = held.value
-        rest = Restorer(lm, lex)
+        scorer = Scorer(*held.value)
         for batch in batches:
-            got = [score_words(words(t, rest), lex, base) if t else base for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != 1), pa.array(got, pa.float64())], [*names, "score"])
-
-    carry = carry or [key]
-    rows = docs.select(F.lit(0).alias("_0"), F.col(text).cast("string").alias("_text"), *[F.col(c) for c in carry])
-    names = ["_0", *carry]
-    out = StructType([*[f for f in rows.schema.fields if f.name != "_text"], StructField("score", DoubleType())])
-    return rows.mapInArrow(run, out).drop("_0")
+            for a, b in tokens.byte_groups(batch.column(at), SLICE):
+                part = batch.slice(a, b - a)
+                got = [scorer.score(t) for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], pa.array(got, pa.float64())], [*own, "score"])
+
+    rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(carry, own)], *([] if sent else [F.col(text).cast("string").alias("t")]))
+    out = rows.mapInArrow(run, StructType([*rows.schema.fields[: len(own)], StructField("score", DoubleType())]))
+    return out.select(*[F.col(o).alias(c) for o, c in zip(own, carry)], "score")
 
 
 def held_out(key: str = "doc_id"):
