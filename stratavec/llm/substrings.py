@@ -3,8 +3,8 @@
 A byte goes if a ``LENGTH``-byte string over it also starts in a document of a smaller id. To bring equal strings
 together without sending every position around, each window of LENGTH bytes has an anchor: the least hash of its
 16-byte strings. Equal windows have equal anchors, and one anchor serves about 18 windows in a row.
-Anchors that occur in one document only are dropped (a count over hashes). Around every other anchor
-its windows are cut out as a snippet; equal snippets are one, with the least document id that has it.
+Of equal texts only the one of the least id takes part, the others go whole (SHA-256 digests tell). Anchors that occur in
+one text only are dropped (a count over hashes). Around every other anchor its windows are cut out as a snippet; equal snippets are one, with the least document id that has it.
 
 The snippets of an anchor meet in one task. It sorts their suffixes, forms the Burrows-Wheeler transform and derives
 common-prefix lengths by increasing value: breadth-first, every interval of a string W is extended backward to the
@@ -19,9 +19,6 @@ with equal ids aren't smaller than each other; null ids count as larger than all
 
 from __future__ import annotations
 
-import gc
-import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +29,8 @@ from pyspark.sql import functions as F
 
 from stratavec.session import materialize, remove, ship
 
+from . import tokens
+
 LENGTH, GRAM = 50, 16  # bytes of a matching string, and of those an anchor is chosen from
 _SEP = 0xFF  # no UTF-8 text has this byte
 
@@ -163,41 +162,67 @@ def bounded_boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.n
     return known[:n]
 
 
-def decide(snippets: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each window of each snippet (at least ``length`` bytes): the least document id of its string."""
-    text = np.frombuffer(b"".join(s + b"\xff" for s in snippets), np.uint8)
+def joined_text(snippets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The snippets' bytes, a separator after each, and their sizes."""
+    sizes = pc.binary_length(snippets).to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.full(int(sizes.sum()) + len(sizes), _SEP, np.uint8)
+    data = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(snippets)], pa.int32()), snippets), b"")[0].as_buffer(), np.uint8)
+    text[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data
+    return text, sizes
+
+
+def decide(snippets: pa.Array, docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The least document id of the string of each window of each snippet (at least ``length`` bytes), and how many windows a snippet has."""
+    text, sizes = joined_text(snippets)
     order = suffix_order(text, length)
     bounds = bounded_boundaries(text, order, length)
-    sizes = np.array([len(s) for s in snippets], np.int64)
+    windows = sizes - length + 1
     ends = np.cumsum(sizes + 1)
-    starts = ends - sizes - 1
-    snippet = np.repeat(np.arange(len(snippets)), sizes + 1)
-    whole = np.arange(len(text)) - starts[snippet] <= sizes[snippet] - length
+    snippet = np.repeat(np.arange(len(sizes)), sizes + 1)
+    whole = np.arange(len(text)) < (ends - length)[snippet]
     ranked = order[whole[order]]
     group = np.cumsum(bounds)[whole[order]]
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     least = np.minimum.reduceat(docs[snippet[ranked]], first)
     out = np.zeros(len(text), np.int64)
     out[ranked] = np.repeat(least, np.diff(np.r_[first, len(ranked)]))
-    return [out[a : a + s - length + 1] for a, s in zip(starts.tolist(), sizes.tolist())]
+    return out[whole], windows
 
 
-def _release(spark) -> None:
-    """Let Spark drop the shuffle files of what is no longer referred to."""
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)  # the cleaner works in the background
+def runs(least: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> pa.ListArray:
+    """For each snippet the byte ranges [a, b) that windows of one least document id cover, with that id."""
+    begin = np.cumsum(windows) - windows
+    owner = np.repeat(np.arange(len(windows)), windows)
+    new = np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    new[begin] = True
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(least)] - 1
+    each = pa.StructArray.from_arrays([pa.array(first - begin[owner[first]]), pa.array(last - begin[owner[last]] + length), pa.array(least[first])], ["a", "b", "m"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(owner[first], minlength=len(windows)))], pa.int32()), each)
 
 
 _LARGEST = (1 << 63) - 1
 
 
 def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc, row, spans): the bytes [a, b) that go from the document, unmerged; row is a hash of the text."""
+    """(doc, row, spans): the bytes [a, b) that go from the document, unmerged; row is a hash of the text.
+
+    Rows of a text that a smaller id has too go whole. So only one row of each text takes part in the search, and an anchor
+    counts if it occurs in two different texts.
+    """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LARGEST)).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    keyed = rows.select("doc", "text", F.xxhash64("text").alias("row"))
+
+    # digests alone are shuffled; equal SHA-256 digests are equal texts
+    narrow = rows.select("doc", F.xxhash64("text").alias("row"), F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2("text", 256)).alias("digest")).where(F.col("n") >= length)
+    narrow = materialize(narrow, "digests")
+    least = narrow.groupBy("digest").agg(F.min("doc").alias("first"))
+    first = materialize(narrow.join(least, "digest").select("doc", "row", "n", "first").distinct(), "texts")
+    remove(spark, narrow)
+    copies = first.where("doc > first").select("doc", "row", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("spans"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,18 +231,17 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
                 owner, h, _, _ = anchors(texts.slice(a, b - a).to_pylist(), length)
                 order = np.lexsort((h, owner))
                 owner, h = owner[order], h[order]
-                new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])][: len(h)]  # an anchor counts once a document
+                new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])][: len(h)]  # an anchor counts once a text
                 each, h = keys[a:b][owner[new]], h[new]
                 for at in range(0, len(h), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (each, h)], ["doc", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (each, h)], ["row", "h"])
 
-    keyed = rows.select("doc", "text", F.xxhash64("text").alias("row"))
-    found = rows.mapInArrow(hashes, "doc long, h long")
-    repeated = materialize(found.groupBy("h").count().where("count > 1").select("h"), "anchors")
-    _release(spark)
-    mine = found.join(repeated, "h", "left_semi").groupBy("doc").agg(F.collect_set("h").alias("hs"))
-    mine = materialize(mine, "anchors-by-document")
-    _release(spark)
+    found = keyed.select("row", "text").mapInArrow(hashes, "row long, h long")
+    repeated = materialize(found.groupBy("h").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("h"), "anchors")
+    by_row = found.join(repeated, "h", "left_semi").groupBy("row").agg(F.collect_set("h").alias("hs"))
+    one = first.where("doc = first").select("doc", F.col("row").alias("r"))
+    mine = materialize(one.join(by_row, F.col("r") == F.col("row")).select("doc", "row", "hs"), "anchors-by-text")
+    remove(spark, repeated)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,73 +262,63 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc", "row", "h", "at", "snip"])
 
-    both = keyed.join(mine, "doc")
+    both = keyed.join(mine, ["doc", "row"])
     occ = both.select("doc", "row", "text", "hs").mapInArrow(cut, "doc long, row long, h long, at long, snip binary")
     occ = materialize(occ.withColumn("sid", F.xxhash64("snip")), "snippets")
     remove(spark, mine)
-    _release(spark)
 
-    distinct = occ.groupBy("h", "snip").agg(F.min("doc").alias("doc"))
+    distinct = occ.groupBy("h", "snip").agg(F.min("doc").alias("doc")).withColumn("sid", F.xxhash64("snip"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by anchor; whole anchors of about PIECE bytes of text are sorted at a time."""
-        held: list[tuple[np.ndarray, list[bytes], np.ndarray]] = []
-        size = 0
+        """Rows (h, sid, doc, snip) come by anchor; whole anchors of about PIECE bytes of text are sorted at a time."""
+        held, size = [], 0
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()))
+            held.append(batch)
             size += batch.nbytes
             if size > PIECE:
-                h, snips, docs_ = joined(held)
+                now = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                h = now.column(0).to_numpy()
                 last = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
-                yield from settle(h[:last], snips[:last], docs_[:last])
-                held = [(h[last:], snips[last:], docs_[last:])]
+                yield from settle(now.slice(0, last))
+                held = [now.slice(last)]
                 size = 0 if last else -size  # a larger anchor waits until it has doubled
         if held:
-            yield from settle(*joined(held))
-
-    def joined(held: list[tuple]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-        return np.concatenate([x[0] for x in held]), [s for x in held for s in x[1]], np.concatenate([x[2] for x in held])
+            yield from settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    def settle(h: np.ndarray, snips: list[bytes], docs_: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(h):
+    def settle(now: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not now.num_rows:
             return
-        size = np.cumsum([len(s) + 1 for s in snips])
+        h = now.column(0).to_numpy()
+        size = np.cumsum(pc.binary_length(now.column(3)).to_numpy(zero_copy_only=False) + 1)
         edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         part = size[edge] // PIECE
         cuts = [*edge[np.flatnonzero(np.r_[True, part[1:] != part[:-1]])].tolist(), len(h)]
         for a, b in zip(cuts, cuts[1:]):
-            starts, stops, least, counts = [], [], [], []
-            for m in decide(snips[a:b], docs_[a:b], length):
-                f = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-                starts.append(f)
-                stops.append(np.r_[f[1:], len(m)] - 1 + length)
-                least.append(m[f])
-                counts.append(len(f))
-            run = pa.StructArray.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (starts, stops, least)], ["a", "b", "m"])
-            runs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), run)
-            yield pa.RecordBatch.from_arrays([pa.array(h[a:b]), pa.array(snips[a:b], pa.binary()), runs], ["h", "snip", "runs"])
-
-    judged = distinct.select("h", "snip", "doc").repartition("h").sortWithinPartitions("h").mapInArrow(judge, "h long, snip binary, runs array<struct<a: long, b: long, m: long>>")
-    judged = materialize(judged.select(F.col("h").alias("h2"), F.xxhash64("snip").alias("s2"), "runs"), "judged")
-    _release(spark)
+            some = now.slice(a, b - a)
+            least, windows = decide(some.column(3), some.column(2).to_numpy(), length)
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), runs(least, windows, length)], ["h2", "s2", "runs"])
+
+    judged = distinct.select("h", "sid", "doc", "snip").repartition("h").sortWithinPartitions("h").mapInArrow(judge, "h2 long, s2 long, runs array<struct<a: long, b: long, m: long>>")
+    judged = materialize(judged, "judged")
     back = occ.select("doc", "row", "h", "at", "sid").join(judged, (F.col("h") == F.col("h2")) & (F.col("sid") == F.col("s2")))
     gone = back.select("doc", "row", "at", F.explode(F.expr("filter(runs, r -> r.m < doc)")).alias("r")).select("doc", "row", F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b")).alias("s"))
-    out = materialize(gone.groupBy("doc", "row").agg(F.collect_set("s").alias("spans")), "spans")
-    for x in (occ, judged):
+    out = materialize(gone.groupBy("doc", "row").agg(F.collect_set("s").alias("spans")).unionByName(copies), "spans")
+    for x in (occ, judged, first):
         remove(spark, x)
-    _release(spark)
     return out
 
 
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    """Maximal runs covered by the spans."""
-    out: list[list[int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def merged(owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs (owner, a, b) covered by each owner's ranges [a, b), in order."""
+    if not len(a):
+        return owner, a, b
+    width = int(b.max()) + 1
+    a, b = a + owner * width, b + owner * width
+    order = np.argsort(a, kind="stable")
+    a, reach = a[order], np.maximum.accumulate(b[order])
+    first = np.flatnonzero(np.r_[True, a[1:] > reach[:-1]])
+    owner = a[first] // width
+    return owner, a[first] - owner * width, reach[np.r_[first[1:], len(a)] - 1] - owner * width
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -316,26 +330,25 @@ def dedup(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
-            for t, spans in zip(batch.column(1), batch.column(2)):
-                raw, at, kept, removed = t.as_py().encode(), 0, [], 0
-                found = merged(spans.as_py() or [])
-                for a, b in found:
-                    kept.append(raw[at:a])
-                    at, removed = b, removed + b - a
-                kept.append(raw[at:])
-                for col, v in zip(out, (len(raw), removed, len(found), b"".join(kept))):
-                    col.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(out, kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            texts = batch.column(1).cast(pa.binary())
+            for x, y in tokens.byte_groups(texts):
+                raws, lists = texts.slice(x, y - x).to_pylist(), batch.column(2).slice(x, y - x)
+                flat = lists.flatten()
+                owner = np.repeat(np.arange(y - x), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                owner, a, b = merged(owner, flat.field("a").to_numpy(zero_copy_only=False), flat.field("b").to_numpy(zero_copy_only=False))
+                spans = np.bincount(owner, minlength=y - x)
+                removed = np.bincount(owner, b - a, minlength=y - x).astype(np.int64)
+                kept, k, a, b = [], 0, a.tolist(), b.tolist()
+                for raw, n in zip(raws, spans.tolist()):
+                    edges = [0, *(e for s in range(k, k + n) for e in (a[s], b[s])), len(raw)]
+                    kept.append(b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2])) if n else raw)
+                    k += n
+                sizes = pa.array([len(r) for r in raws], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), sizes, pa.array(removed), pa.array(spans.astype(np.int64)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
-
-
 SQL = """
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 p AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM b WHERE length(x) >= 100),
