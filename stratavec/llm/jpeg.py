@@ -358,39 +358,57 @@ def with_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in tokens.text_groups(texts):
-                raw = [(t or "").encode() for t in texts[a:b]]
+            for a, b in tokens.byte_groups(batch.column(1)):
+                raw = [(t or "").encode() for t in batch.column(1).slice(a, b - a).to_pylist()]
                 media = store([r + bytes(-len(r) % ROW if r else ROW) for r in raw])
-                yield pa.RecordBatch.from_arrays([keys[a:b], pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     ship(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, images int, width int, height int"
+MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, images int, width int, height int, error string"
+
+
+def _read(media: list[bytes | None]) -> list[list[tuple[int, int, np.ndarray]] | str]:
+    """The thumbnails of each media value, or why there are none."""
+    there = [m for m in media if m is not None]
+    try:
+        found: list = thumbnails(there)
+    except (ValueError, IndexError, KeyError):  # one is damaged: each on its own
+        found = []
+        for m in there:
+            try:
+                found += thumbnails([m])
+            except (ValueError, IndexError, KeyError) as e:
+                found.append(str(e) or type(e).__name__)
+    each = iter(found)
+    return [next(each) if m is not None else "no media" for m in media]
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """What the stored bytes of (doc_id, n_bytes, media) hold: digests of the payload read back, dimensions and thumbnail hashes."""
+    """What the stored bytes of (doc_id, n_bytes, media) hold: digests of the payload read back, dimensions and thumbnail hashes.
+
+    Null media give nulls and the error "no media"; damaged ones give their stored size and digest, nulls for what would be read back, and the error.
+    Null ids and repeated rows are described like others; further columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
-            values = batch.column(2).to_pylist()
-            at = 0
-            while at < len(values):
-                end, held = at, 0
-                while end < len(values) and (end == at or held + len(values[end]) <= 2_000_000):
-                    held += len(values[end])
-                    end += 1
-                rows: list[list] = [[] for _ in range(9)]
-                for m, images in zip(values[at:end], thumbnails(values[at:end])):
-                    payload = b"".join(g.tobytes() for _, _, g in images)
-                    for col, v in zip(rows, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(images), len(images), images[0][0], images[0][1])):
+            for a, b in tokens.byte_groups(batch.column(2)):
+                values = batch.column(2).slice(a, b - a).to_pylist()
+                rows: list[list] = [[] for _ in kinds]
+                for m, images in zip(values, _read(values)):
+                    stored = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
+                    if isinstance(images, str):
+                        row = (None, None, None, *stored, None, None, None, None, images)
+                    else:
+                        payload = b"".join(g.tobytes() for _, _, g in images)
+                        row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored, feature(images), len(images), images[0][0], images[0][1], None)
+                    for col, v in zip(rows, row):
                         col.append(v)
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], batch.column(1)[at:end], *[pa.array(r, k) for r, k in zip(rows, kinds)]], [x.split()[0] for x in MEDIA.split(", ")])
-                at = end
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *[pa.array(r, k) for r, k in zip(rows, kinds)]], [x.split()[0] for x in MEDIA.split(", ")])
 
     ship(media.sparkSession)
-    return media.mapInArrow(run, MEDIA)
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), F.col("media").cast("binary").alias("media")).mapInArrow(run, MEDIA)
