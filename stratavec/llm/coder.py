@@ -1,10 +1,12 @@
 """Adaptive context-mixing range coder for token ids, many independent blocks at a time.
 
 A block is a run of at most ``BLOCK`` ids with a model and a coder of its own. Its model predicts the next id from
-the last two ids (order 2), from the last one (order 1), and by how long ids have been so far (order 0: an adaptive
-distribution over bit lengths, uniform within a length). The three are mixed with weights that follow how often each
+the last two ids (order 2), from the last one (order 1), and from how often ids have come so far (order 0: adaptive counts
+of the ids that came most, ``KEPT`` of them, and of the bit lengths of all others, uniform within a length). An id that
+isn't kept takes the place of one of the less frequent ones. The three orders are mixed with weights that follow how often each
 order's guess held, separately for guesses with a longer and a shorter record; a 16-bit range coder spends bits on the
-mix. Encoder and decoder run the same steps, one id of every block at a time, so numpy works on whole blocks' columns.
+mix. Encoder and decoder run the same steps, one id of every block at a time, so numpy works on whole blocks' columns;
+short blocks make these columns long.
 """
 
 from __future__ import annotations
@@ -13,84 +15,106 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-LANES = 2048
-_ONE, _TABLE, _MASK = 1 << 16, 1 << 12, (1 << 12) - 1
+BLOCK = 512
+LANES = 8192
+KEPT = 16
+_ONE, _TABLE, _MASK = 1 << 16, 1 << 8, (1 << 8) - 1
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _LEN = np.zeros(1 << 16, np.int32)  # bit length of id + 1, less one
 for _k in range(17):
     _LEN[(1 << _k) - 1 : (2 << _k) - 1] = min(_k, 16)
 _S16, _S48 = np.uint64(16), np.uint64(48)
-
-
-_STEPS = np.arange(18, dtype=np.int16)[:, None]
+_ROWS = KEPT + 17
+_LONGER = np.array([1, 2, 3, 3], np.int32) << 16  # a guess's record after it has held once more
+_PLACES = np.arange(1, KEPT + 1, dtype=np.int8)[:, None]
+_STEPS = np.arange(_ROWS + 1, dtype=np.int16)[:, None]
 
 
 class _Model:
     """The mixed prediction of every block, and its update."""
 
     def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int64) * _TABLE
-        self.conf = np.arange(lanes, dtype=np.int32) * 4
-        self.t1 = np.zeros(lanes * _TABLE, np.int32)
-        self.t2 = np.zeros(lanes * _TABLE, np.int32)
-        self.p1 = np.full(lanes * 4, _ONE // 16, np.int32)
-        self.p2 = np.full(lanes * 4, _ONE // 8, np.int32)
-        self.cum = np.repeat(_STEPS, lanes, axis=1)  # by bit length, then block
+        # orders 1 and 2 stand one above the other: the id last seen in each context with its record, and how often guesses held
+        self.base = np.arange(2 * lanes).reshape(2, lanes) * _TABLE
+        self.conf = np.arange(2 * lanes, dtype=np.int32).reshape(2, lanes) * 4
+        self.table = np.empty(2 * lanes * _TABLE, np.int32)  # written to at once, which lets the system use large pages
+        self.table.fill(0)
+        self.held = np.repeat(np.array([_ONE // 16, _ONE // 8], np.int32), lanes * 4)
+        self.cum = np.repeat(_STEPS, lanes, axis=1)  # by kept id or bit length, then block; 8 an id stay within 16 bits
+        self.kept = np.full((KEPT, lanes), -1, np.int32)
+        self.step = 0
         self.rows = np.arange(lanes)
         self.a = np.zeros(lanes, np.int32)
         self.b = np.zeros(lanes, np.int32)
 
     def predict(self) -> None:
-        self.i1 = self.base + (self.a & _MASK)
-        self.i2 = self.base + ((self.a * 11 + self.b * 1021 + (self.b >> 7)) & _MASK)
-        e1, e2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.c1, self.c2 = e1 & 0xFFFF, e2 & 0xFFFF
-        self.k1, self.k2 = self.conf + (e1 >> 16), self.conf + (e2 >> 16)
-        self.o1, self.o2 = self.p1.take(self.k1), self.p2.take(self.k2)
-        w2 = self.o2 >> 1
-        w1 = ((32768 - w2) * (self.o1 >> 1)) >> 15
+        self.at = self.base.copy()
+        self.at[0] += self.a & _MASK
+        self.at[1] += (self.a * 11 + self.b * 1021 + (self.b >> 7)) & _MASK
+        e = self.table.take(self.at)
+        self.guess = e & 0xFFFF
+        self.c1, self.c2 = self.guess
+        self.k = self.conf + (e >> 16)
+        self.odds = self.held.take(self.k)
+        w1, w2 = self.odds >> 1
+        w1 = ((32768 - w2) * w1) >> 15
         same = self.c1 == self.c2
         self.w2 = (w2 + w1 * same) * 7 >> 2  # both orders agree: their shares add up; order 0 keeps an eighth
         self.w1 = w1 * ~same * 7 >> 2
         self.lead = self.w1 + self.w2
         self.rest = _ONE - self.lead
-        self.tot = self.cum[17]
+        self.tot = self.cum[_ROWS]
 
-    def order0(self, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where a bit length's share of the rest begins and ends; exact, as all numbers are far below 2**53."""
+    def order0(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a row's share of the rest begins and ends; exact, as all numbers are far below 2**53."""
         n = len(self.rows)
-        at = self.rows + length * n
+        at = self.rows + row * n
         scale = self.rest.astype(np.float64)
         return np.floor(scale * self.cum.take(at) / self.tot).astype(np.int32), np.floor(scale * self.cum.take(at + n) / self.tot).astype(np.int32)
 
-    def update(self, sym: np.ndarray, length: np.ndarray, coded: np.ndarray) -> None:
-        for t, i, c, k, p, o in ((self.t1, self.i1, self.c1, self.k1, self.p1, self.o1), (self.t2, self.i2, self.c2, self.k2, self.p2, self.o2)):
-            hit = c == sym
-            p[k] = o + ((hit * np.int32(65472) - o) >> 5) + (o < 64)
-            t[i] = sym | (np.minimum((k & 3) + 1, 3) * hit << 16)
-        self.cum += (_STEPS > np.where(coded, length, 17).astype(np.int16)).view(np.int8) << 3
-        big = np.flatnonzero(self.tot > 4000)
-        if len(big):
-            f = np.diff(self.cum[:, big], axis=0)
-            self.cum[1:, big] = np.cumsum((f + 1) >> 1, axis=0)
+    def row(self, sym: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The row order 0 has for an id: its place among the kept ones, or its bit length."""
+        place = np.add.reduce((self.kept == sym).view(np.int8) * _PLACES, axis=0, dtype=np.int8)  # an id is kept once
+        return np.where(place, place - np.int8(1), KEPT + length)
+
+    def update(self, sym: np.ndarray, row: np.ndarray, coded: np.ndarray) -> None:
+        hit = self.guess == sym
+        self.held[self.k] = self.odds + ((hit * np.int32(_ONE - 128) + (64 - self.odds)) >> 5)
+        self.table[self.at] = _LONGER.take(self.k & 3) * hit | sym
+        # 8 more for the rows above the id's: the sign of a difference, as a number
+        above = np.where(coded, row, _ROWS).astype(np.int16) - _STEPS
+        above >>= 12
+        above &= 8
+        self.cum += above
+        # two kept ids stand for election, in turn; the less frequent one goes
+        self.step += 1
+        x, y = self.step % KEPT, (self.step // KEPT * 2 + 1 + self.step) % KEPT
+        new = coded & (row >= KEPT)
+        first = self.cum[x + 1] - self.cum[x] <= self.cum[y + 1] - self.cum[y]
+        np.copyto(self.kept[x], sym, where=new & first, casting="unsafe")
+        np.copyto(self.kept[y], sym, where=new & ~first, casting="unsafe")
         self.b, self.a = self.a, sym
 
     def shrink(self, n: int) -> None:
         """Only the first n blocks go on (blocks stand by falling length)."""
-        for k in ("base", "conf", "a", "b", "rows"):
-            setattr(self, k, getattr(self, k)[:n])
-        self.cum = np.ascontiguousarray(self.cum[:, :n])
+        for k in ("base", "conf", "a", "b", "rows", "cum", "kept"):
+            setattr(self, k, np.ascontiguousarray(getattr(self, k)[..., :n]))
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """The coded form of each block (1 to BLOCK ids below 65,536 each)."""
     out: list[bytes] = []
-    for at in range(0, len(blocks), LANES):
-        out += _encode(blocks[at : at + LANES])
+    for a, b in _shares(len(blocks)):
+        out += _encode(blocks[a:b])
     return out
 
 
+def _shares(n: int) -> list[tuple[int, int]]:
+    """About equal parts of n blocks, of about LANES."""
+    parts = max(1, round(n / LANES))
+    return [(n * k // parts, n * (k + 1) // parts) for k in range(parts)] if n else []
+
+
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order])
@@ -127,16 +151,18 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         is2 = m.c2 == sym
         is1 = (m.c1 == sym) & ~is2 & (m.w1 > 0)
         plain = ~(is1 | is2)
-        first, last = m.order0(length)
+        row = m.row(sym, length)
+        first, last = m.order0(row)
         start = np.where(plain, m.lead + first, m.w2 * is1).astype(np.uint64)
         size = np.where(plain, last - first, np.where(is2, m.w2, m.w1)).astype(np.uint64)
         r = rng[:live] >> _S16
         low[:live] += r * start
-        r = r * size >> (length * plain).astype(np.uint64)
-        low[:live] += r * (extra[step, :live] * plain).astype(np.uint64)
+        within = plain & (row >= KEPT)
+        r = r * size >> (length * within).astype(np.uint64)
+        low[:live] += r * (extra[step, :live] * within).astype(np.uint64)
         rng[:live] = r
         push(live)
-        m.update(sym, length, plain)
+        m.update(sym, row, plain)
     for _ in range(4):
         words[pos] = (low >> _S48).astype(np.uint16)
         low <<= _S16
@@ -150,8 +176,8 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
 def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     """The ids of each block; sizes: how many each holds."""
     out: list[np.ndarray] = []
-    for at in range(0, len(coded), LANES):
-        out += _decode(coded[at : at + LANES], sizes[at : at + LANES])
+    for a, b in _shares(len(coded)):
+        out += _decode(coded[a:b], sizes[a:b])
     return out
 
 
@@ -194,8 +220,9 @@ def _decode(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
         value = np.minimum((code[:live] - low[:live]) // r, np.uint64(_ONE - 1)).astype(np.int32)
         is2, plain = value < m.w2, value >= m.lead
         upto = np.floor(((value - m.lead + 1) * m.tot.astype(np.float64) - 1) / m.rest)
-        length = (m.cum[1:17] <= upto.astype(np.int16)).sum(axis=0, dtype=np.int32) * plain
-        first, last = m.order0(length)
+        row = np.add.reduce((m.cum[1:_ROWS] <= upto.astype(np.int16)).view(np.int8), axis=0, dtype=np.int8).astype(np.int32) * plain
+        first, last = m.order0(row)
+        length = np.maximum(row - KEPT, 0)
         start = np.where(plain, m.lead + first, m.w2 * ~is2).astype(np.uint64)
         size = np.where(plain, last - first, np.where(is2, m.w2, m.w1)).astype(np.uint64)
         low[:live] += r * start
@@ -205,8 +232,9 @@ def _decode(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
         low[:live] += r * offset
         rng[:live] = r
         pull(live)
-        sym = np.where(plain, offset.astype(np.int32) + (1 << length) - 1, np.where(is2, m.c2, m.c1)).astype(np.int32)
-        m.update(sym, length, plain)
+        coded = np.where(row >= KEPT, offset.astype(np.int32) + (1 << length) - 1, m.kept.ravel().take(m.rows + np.minimum(row, KEPT - 1) * live))
+        sym = np.where(plain, coded, np.where(is2, m.c2, m.c1)).astype(np.int32)
+        m.update(sym, row, plain)
         syms[step, :live] = sym
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * n
     for lane, i in enumerate(order):

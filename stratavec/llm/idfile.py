@@ -15,7 +15,6 @@ gives no rows.
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from . import coder, tokens
 from .packing import partition_bases
 
 MAGIC = b"SVI1"
-SEGMENT = 64 * coder.BLOCK
+SEGMENT = 128 * coder.BLOCK
 FILE = "part int, part_start long, n_tokens long, docs array<long>, lengths array<long>, payload binary"
 _ARROW = pa.schema([("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("docs", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 
@@ -71,10 +70,10 @@ def read_payloads(data: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate([next(ids) for _ in range(n)]) if n else np.zeros(0, np.int32) for n in counts]
 
 
-def _flush(held: list[tuple[list, list[bytes]]], part: int, at: int, dtype: np.dtype) -> pa.RecordBatch:
-    runs = [np.frombuffer(b"".join(ids), dtype) for _, ids in held]
+def _flush(held: list[tuple[list, list[np.ndarray]]], part: int, at: int) -> pa.RecordBatch:
+    runs = [np.concatenate(ids) for _, ids in held]
     n = np.array([len(r) for r in runs], np.int64)
-    lengths = [[len(x) // dtype.itemsize for x in ids] for _, ids in held]
+    lengths = [[len(x) for x in ids] for _, ids in held]
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(held), part, np.int32)), pa.array(at + np.cumsum(n) - n), pa.array(n), pa.array([d for d, _ in held], pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int64())), pa.array(payloads(runs), pa.binary())], schema=_ARROW)
 
 
@@ -88,27 +87,26 @@ def write(docs: DataFrame, target: str, path: str | None = None, end_id: int = 2
         part, at, enc = TaskContext.get().partitionId(), 0, tokens.encoder(path)
         if enc.dtype.itemsize != 2:
             raise ValueError("the coder takes vocabularies of up to 65,536 ids")
-        end = np.array([end_id], enc.dtype).tobytes()
         held, size, total = [([], [])], 0, 0
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in tokens.text_groups(texts):
-                for k, ids in zip(keys[a:b], enc.ids([t or "" for t in texts[a:b]])):
+            for a, b in tokens.byte_groups(batch.column(1), tokens.SLICE):
+                flat, n = tokens.with_end(*enc.encode(batch.column(1).slice(a, b - a)), end_id)
+                for k, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), np.split(flat, np.cumsum(n)[:-1])):
                     held[-1][0].append(k)
-                    held[-1][1].append(ids + end)
-                    size += len(ids) // 2 + 1
+                    held[-1][1].append(ids)
+                    size += len(ids)
                     if size >= SEGMENT:
                         total += size
                         held.append(([], []))
                         size = 0
                         if total >= coder.LANES * coder.BLOCK:
-                            yield (out := _flush(held[:-1], part, at, enc.dtype))
+                            yield (out := _flush(held[:-1], part, at))
                             at += sum(out.column(2).to_pylist())
                             held, total = held[-1:], 0
         if not held[-1][0]:
             held.pop()
         if held:
-            yield _flush(held, part, at, enc.dtype)
+            yield _flush(held, part, at)
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -144,6 +142,3 @@ def round_trip(docs: DataFrame, path: str | None = None, end_id: int = 2) -> Dat
     write(docs, target, path, end_id)
     return read(docs.sparkSession, target)
 
-
-def crc(ids: bytes) -> int:
-    return zlib.crc32(ids)

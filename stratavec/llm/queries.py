@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavec.session import ship
-
 from . import idfile, jpeg, linechunks, mixing, packing, rpforest, sharding, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,7 +79,6 @@ def op7_bwt_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-
 @_query
 def op8_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.describe(jpeg.with_media(_table(spark, sf_dir, "documents")))
@@ -95,4 +92,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), end_id=1, window=2048)
+    out = packing.pack(_table(spark, sf_dir, "documents"), end_id=1, window=2048)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

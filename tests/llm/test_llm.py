@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -57,7 +58,14 @@ def encoded(rows):
 def test_word_cache_gives_the_library_s_ids():
     enc = tokens.encoder(tokens.default_path())
     odd = ["", " ", "  a  b ", "a \n b", " x", "x ", "<|endoftext|> a b", "don't  we'll", "\n\n a", "é​ b 12 3\t4 ", "x" * 50, "a\x1c b", "a b\n"]
-    assert enc.ids(odd) == enc.whole(odd)
+    odd += ["a\u00a0 b", "a \u2003 b", "a\r\n\r\n b\x0b c", "\u3000 a", "l'a d'b 's\n't", "a\n\n\nb  \n c", "x" * 100 + " y", "", "日本 語", "a\u200d b", "1 2\n3\t\t4"]
+    r = random.Random(1)
+    odd += ["".join(r.choice(" \n\tab1.'é\u00a0") for _ in range(r.randint(0, 40))) for _ in range(500)]
+    for _ in range(2):
+        assert enc.ids(odd) == [x.tobytes() for x in enc.whole(odd)]
+    flat, n = enc.encode(pa.array([None, "a b", None, ""]))
+    assert n.tolist() == [0, len(flat), 0, 0]
+    assert tokens.Encoder.encode(enc, pa.array([], pa.string()))[1].tolist() == []
 
 
 def test_coder_round_trip():
@@ -88,7 +96,7 @@ def test_packing(docs, empty, encoded):
     for i, ids in encoded.items():
         all_ids, at = np.array([*ids, 1], "<u4"), 0
         for r in sorted(by[i], key=lambda r: r.start):
-            assert r.start == at and r.ids_crc32 == zlib.crc32(all_ids[at : at + r.length].tobytes())
+            assert r.start == at and bytes(r.ids) == all_ids[at : at + r.length].tobytes()
             at += r.length
         assert at == len(all_ids)
     for s, pieces in seqs.items():
