@@ -8,12 +8,13 @@ task), texts are fetched for repeated digests alone, and the documents that lose
 
 Defined results: a null text has no lines and stays null; an empty text is one empty line; null ids sort before others;
 rows equal in id and text count as one occurrence and are treated alike; other columns pass through, ``n_chars`` (if
-there is one) is counted anew.
+there is one) is counted anew, and one named like a result gives way to it; an empty table gives no rows. A text of any
+length is one row; the work on it is in proportion to its lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EVERY = 3
@@ -62,20 +63,23 @@ def removals(docs: DataFrame, every: int = EVERY, text: str = "text", key: str =
 def dedup(docs: DataFrame, every: int = EVERY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with the repeated chunks gone from the text, plus lines, chunks and removed_chunks, removed_lines."""
     gone = removals(docs, every, text, key)
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("lines", "chunks", "removed_chunks", "removed_lines")]
     own = {c: f"_c{i}" for i, c in enumerate(names)}  # the table's columns can't clash with the working ones
     rows = docs.select(*[F.col(f"`{c}`").alias(own[c]) for c in names])
     k, t = own[key], own[text]
     rows = rows.withColumn("_hit", F.xxhash64(F.col(t).cast("string")))
     joined = rows.join(gone, F.col(k).eqNullSafe(F.col("_id")) & (F.col("_hit") == F.col("_row")), "left")
     cut = chunked(joined, every, t)
-    kept = F.expr("filter(_chunks, c -> _gone is null or not array_contains(_gone, c.k))")
-    lost = "filter(_chunks, c -> _gone is not null and array_contains(_gone, c.k))"
-    new = F.array_join(F.flatten(F.transform(kept, lambda c: F.slice(F.col("_lines"), c["a"], c["b"] - c["a"] + 1))), "\n")
-    new = F.when(F.col("_gone").isNull(), F.col(t)).otherwise(new)
-    cut = cut.withColumn("_new", new)
+    # array_except hashes, so this is linear in the chunks, however many are lost
+    new = F.expr("array_join(flatten(transform(array_except(sequence(1, size(_chunks)), _gone), k -> slice(_lines, element_at(_chunks, k).a, element_at(_chunks, k).b - element_at(_chunks, k).a + 1))), '\n')")
+    cut = cut.withColumn("_new", F.when(F.col("_gone").isNull(), F.col(t)).otherwise(new))
     values = {text: F.col("_new"), "n_chars": F.length("_new").cast("long")}
-    stats = [F.when(F.col(t).isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("lines"), F.when(F.col(t).isNull(), 0).otherwise(F.size("_chunks")).cast("long").alias("chunks"), F.size(F.expr(lost)).cast("long").alias("removed_chunks"), F.expr(f"aggregate({lost}, 0L, (s, c) -> s + c.b - c.a + 1)").alias("removed_lines")]
+
+    def counted(x) -> Column:
+        return F.when(F.col(t).isNull(), 0).otherwise(x).cast("long")
+
+    lost = F.expr("aggregate(_gone, 0L, (s, k) -> s + element_at(_chunks, k).b - element_at(_chunks, k).a + 1)")
+    stats = [counted(F.size("_lines")).alias("lines"), counted(F.size("_chunks")).alias("chunks"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("removed_chunks"), F.coalesce(lost, F.lit(0)).cast("long").alias("removed_lines")]
     return cut.select(*[values.get(c, F.col(own[c])).alias(c) for c in names], *stats)
 
 
@@ -93,7 +97,7 @@ def dedup_passages(docs: DataFrame, long_line: int = 50, text: str = "text", key
     short and wherever chunks would end, and the first occurrence of every line stays. Windows are equal where 128 bits
     of SHA-256 are, so digests alone are shuffled. The results for nulls, equal rows and ``n_chars`` are those of :func:`dedup`.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c != "removed_lines"]
     own = {c: f"_c{i}" for i, c in enumerate(names)}
     rows = docs.select(*[F.col(f"`{c}`").alias(own[c]) for c in names])
     k, t = own[key], own[text]

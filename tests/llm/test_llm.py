@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stratavec.llm import coder, graph, idfile, jpeg, linechunks, mixing, packing, rpforest, sharding, simhash, substrings, tokens, toxicity
@@ -123,6 +124,27 @@ def test_sharding(docs, empty, rows):
     assert sharding.interleave(empty, 7).count() == 0
 
 
+def test_shards_by_sql(spark, docs):
+    import duckdb
+
+    from stratavec.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    want = {r[0]: r for r in con.execute(f"SELECT doc_id, source, size, text_crc32, law, shard, slot, grown_shard FROM ({sharding.SQL})").fetchall()}
+    got = {r.doc_id: tuple(r) for r in queries.op5_stratified_shards(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and len(got) == 200
+
+
+def test_sharding_takes_rows_without_keys_and_clashing_columns(spark):
+    table = spark.createDataFrame([(None, "a", f"t{i}", 9, "x") for i in range(50)] + [(7, "a", "same", 9, "y")] * 5 + [(None, None, None, None, None)] * 3, "doc_id long, source string, text string, shard int, slot string")
+    got = sharding.interleave(table, 4).collect()
+    assert sorted((r.text is None, r.text or "") for r in got) == sorted((r.text is None, r.text or "") for r in table.collect())
+    assert sorted(c for c in got[0].asDict()) == ["doc_id", "shard", "slot", "source", "text"]
+    sizes = [sum(r.shard == s for r in got) for s in range(4)]
+    assert sorted(sizes) == [14, 14, 15, 15] and sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(4) for k in range(sizes[s])]
+
+
 def brute_line_chunks(rows):
     seen, out = set(), {}
     for i, text, *_ in sorted(rows, key=lambda r: r[0]):
@@ -154,6 +176,15 @@ def test_line_chunks(docs, empty, rows):
     assert linechunks.dedup(empty).count() == 0
 
 
+def test_line_columns_may_clash_and_long_texts_lose_many_chunks(spark):
+    body = "\n".join(f"line {k // 2} {'x' * (k % 5)}" for k in range(20_000))
+    table = spark.createDataFrame([(1, body, "kept", 5), (2, body + "\nend", "kept", 6), (None, "a", "kept", 7)], "doc_id long, text string, other string, lines int")
+    got = {r.doc_id: r for r in linechunks.dedup(table).collect()}
+    assert got[1].lines == 20_000 and got[2].lines == 20_001 and got[None].text == "a" and got[2].removed_lines > 19_900
+    want = brute_line_chunks([(1, body), (2, body + "\nend")])
+    assert {i: got[i].text for i in (1, 2)} == want
+
+
 def brute_passages(rows, long_line=50):
     seen, out = set(), []
     for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)):
@@ -375,8 +406,10 @@ def test_mixing_meets_its_targets(spark, docs, empty):
     labels = spark.createDataFrame([(i, "x" if i % 2 else "y") for i in range(0, 60, 2)] + [(i, "x") for i in range(1, 60, 2)], "doc_id long, domain string")
     domains, post = mixing.posteriors(docs.select("doc_id", "text"), labels)
     w = mixing.tempered(post, len(domains), 0.5)
-    rate, target, reached = mixing.fit_rates(post, w)
-    x = [(r.n_tokens, r.p, r.r) for r in post.select("n_tokens", "p", rate.alias("r")).collect()]
+    fit = mixing.fit_rates(post, w)
+    target = fit.target
+    assert fit.converged
+    x = [(r.n_tokens, r.p, r.rate) for r in fit.rates.collect()]
     assert all(r >= 0 and abs(sum(p) - 1) < 1e-9 for _, p, r in x)
     for d, t in enumerate(target):
         assert sum(n * p[d] * r for n, p, r in x) == pytest.approx(t, rel=1e-4)
@@ -386,11 +419,25 @@ def test_mixing_meets_its_targets(spark, docs, empty):
 
 def test_rates_stay_nonnegative_when_a_target_is_zero(spark):
     post = spark.createDataFrame([(i, 1, 10, [p, 1 - p]) for i, p in enumerate([0.1, 0.5, 0.9])], "_key long, _times long, n_tokens long, p array<double>")
-    rate, target, _ = mixing.fit_rates(post, [1.0, 0.0], rounds=200)
-    r = [x.r for x in post.select(rate.alias("r")).collect()]
+    r = [x.rate for x in mixing.fit_rates(post, [1.0, 0.0], rounds=200).rates.orderBy("_key").collect()]
     assert min(r) == 0 and r[2] > 0
 
 
+@pytest.mark.parametrize("whole", [64, 2])
+def test_hard_targets_are_met(spark, monkeypatch, whole):
+    monkeypatch.setattr(mixing, "GRAM", whole)
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.2] * 8, 400)
+    n = rng.integers(50, 500, 400)
+    post = spark.createDataFrame([(i, 1, int(k), x.tolist()) for i, (k, x) in enumerate(zip(n, p))], "_key long, _times long, n_tokens long, p array<double>").coalesce(1).cache()
+    fit = mixing.fit_rates(post, [0.6] + [0.4 / 7] * 7, tolerance=1e-3)
+    r = np.array([x.rate for x in fit.rates.orderBy("_key").collect()])
+    got = (r * n) @ p
+    assert fit.converged and r.min() >= 0 and np.abs(got - fit.target).sum() <= 1e-3 * n.sum() and np.allclose(got, fit.reached)
+    none = mixing.fit_rates(post.withColumn("p", F.concat("p", F.array(F.lit(0.0)))), [0.1] * 9, rounds=60, tolerance=1e-3)
+    assert not none.converged and none.reached[8] == 0
+
+
 def test_toxicity(spark, docs, empty):
     words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnr"]
     r = random.Random(1)
@@ -445,6 +492,16 @@ def test_linked_pairs_and_tree_against_all_pairs():
         assert (graph.spanning(joined) == label).all()
 
 
+def test_stars_connect_what_pairs_connect():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 0), (50, 30), (400, 350), (300, 3000)):
+        a, b = rng.integers(0, n, (2, m)) * 7
+        x, y = graph.stars(a, b)
+        links = [(p, q) for p, q in zip(a.tolist(), b.tolist())]
+        want = brute_components(n, lambda i, j, s=set(links) | {(q, p) for p, q in links}: (7 * i, 7 * j) in s)
+        assert dict(zip(y.tolist(), x.tolist())) == {7 * i: 7 * c for i, c in want.items() if i != c}
+
+
 def test_anchors_of_joined_texts_equal_those_of_each():
     from stratavec.llm import substrings
 
