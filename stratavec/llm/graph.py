@@ -193,6 +193,24 @@ def spanning(links: np.ndarray) -> np.ndarray:
     return label
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest pairs that connect the same nodes as the pairs (a, b): the least node of each connected group with every other one."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        p, q = root[x], root[y]
+        apart = p != q
+        if not apart.any():
+            break
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    far = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[far]], nodes[far]
+
+
 def tree(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of n items' symmetric boolean link matrix as (item, parent), every edge a link; roots are least."""
     label = spanning(links)

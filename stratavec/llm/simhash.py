@@ -132,27 +132,35 @@ def near(nodes: DataFrame, distance: int = 4, spare: float = 4.0, total: int | N
         for i in range(0, len(fp), 512):
             links[i : i + 512] = close(fp[i : i + 512, None], fp[None])
         child, parent = graph.tree(links)
-        yield from gather(ids[parent], ids[child])
+        gather(ids[parent], ids[child])
+        return ()
 
     def linked(col, i, j):
         return close(flat(col["fp"][i]), flat(col["fp"][j]))
 
     def take(col, i, j):
-        yield from gather(col["node"][i], col["node"][j])
+        gather(col["node"][i], col["node"][j])
+        return ()
 
-    out: list[list[np.ndarray]] = [[], []]
+    # many buckets connect the same nodes again: a task hands on no more pairs than it has nodes
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    size = [0, 1 << 18]
 
     def gather(a, b):
-        out[0].append(a)
-        out[1].append(b)
-        if sum(map(len, out[0])) > 100_000 or len(out[0]) > 5_000:
-            yield flush()
+        out.append((a, b))
+        size[0] += len(a)
+        if size[0] > size[1] or len(out) > 20_000:
+            contract()
+            size[1] = max(size[1], 2 * size[0])
+
+    def contract():
+        out[:] = [graph.stars(*(np.concatenate([x[k] for x in out] + [np.zeros(0, np.int64)]) for k in (0, 1)))]
+        size[0] = len(out[0][0])
 
     def flush():
-        pairs = np.array([np.concatenate(x) if x else np.zeros(0, np.int64) for x in out])
-        out[0].clear()
-        out[1].clear()
-        pairs = np.unique(pairs, axis=1)  # many buckets give the same link
+        contract()
+        pairs = out.pop()
+        size[0] = 0
         return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
 
     return graph.compare_in_buckets(rows, "a long, b long", compare, finish=flush, linked=linked, take=take)

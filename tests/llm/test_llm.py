@@ -180,7 +180,7 @@ def test_line_columns_may_clash_and_long_texts_lose_many_chunks(spark):
     body = "\n".join(f"line {k // 2} {'x' * (k % 5)}" for k in range(20_000))
     table = spark.createDataFrame([(1, body, "kept", 5), (2, body + "\nend", "kept", 6), (None, "a", "kept", 7)], "doc_id long, text string, other string, lines int")
     got = {r.doc_id: r for r in linechunks.dedup(table).collect()}
-    assert got[1].lines == 20_000 and got[2].lines == 20_001 and got[None].text == "a" and got[2].removed_lines > 19_900
+    assert got[1].lines == 20_000 and got[2].lines == 20_001 and got[None].text == "a" and got[2].removed_lines > 15_000
     want = brute_line_chunks([(1, body), (2, body + "\nend")])
     assert {i: got[i].text for i in (1, 2)} == want
 
