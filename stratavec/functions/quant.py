@@ -103,6 +103,12 @@ def scores(scale: np.ndarray, codes: np.ndarray, queries: np.ndarray, g: Geometr
     return (g.levels()[codes] @ rotate(queries, g).T) * scale.astype(np.float64)[:, None]
 
 
-def sign_scores(codes: np.ndarray, queries: np.ndarray, g: Geometry) -> np.ndarray:
-    """The coarse score of the staged search: sign planes alone."""
-    return np.where(codes >= 1 << (g.bit_width - 1), 1.0, -1.0) @ np.sign(rotate(queries, g)).T
+def signs_of(codes: np.ndarray, g: Geometry) -> list[bytes]:
+    """The sign plane: the codes' highest bit, packed."""
+    return [row.tobytes() for row in np.packbits(codes >= 1 << (g.bit_width - 1), axis=1, bitorder="little")]
+
+
+def plane(packed: list[bytes], g: Geometry) -> np.ndarray:
+    """Sign planes as rows of +-1."""
+    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+    return np.unpackbits(raw, axis=1, bitorder="little")[:, : g.padded].astype(np.float64) * 2 - 1

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 
 import numpy as np
 import pandas as pd
@@ -110,6 +109,3 @@ def check_k(k) -> int:
         raise ValueError("k must not be negative")
     return int(k)
 
-
-def finite(x: float) -> bool:
-    return math.isfinite(x)

@@ -2,25 +2,29 @@
 
 ``filter`` is applied before the top-k, by a semi join below the scoring; predicates on the result apply after it. Ties
 stand by ascending id. Scoring in batches keeps k rows a query and task, so what is shuffled is k * tasks rows a query.
+Query tables of a checked size are broadcast; larger ones meet the rows in a grid of cells of rows and queries. A task
+never holds more than ``SCORES`` scores at once, besides the best so far.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavec.errors import DimensionMismatch, InvalidSearch
 from stratavec.functions import quant, vectors
 from stratavec.session import ship
 
-#: Bytes of query vectors broadcast at once; a larger query table is searched in blocks.
-QUERY_BYTES = 16 << 20
-#: Rows from which a staged search shortlists by sign planes first, and how many times k it keeps.
-STAGED_ROWS, STAGED_FACTOR = 32_768, 16
+#: Bytes of query vectors broadcast at most, and scores a task computes at a time.
+QUERY_BYTES, SCORES = 16 << 20, 4 << 20
+#: Rows and queries of a cell, where there are more queries.
+ROW_CELL, QUERY_CELL = 65_536, 4_096
+#: Rows from which a staged search shortlists by sign planes first, and how many times k (and at least how many rows) it keeps.
+STAGED_ROWS, STAGED_FACTOR, STAGED_LEAST = 32_768, 16, 256
 
 
 def effective_k(k: int | None = None, limit: int | None = None, offset: int = 0, rows: int | None = None, order: str | None = "score desc") -> tuple[int | None, int]:
@@ -78,77 +82,137 @@ def knn(rows: DataFrame, query, k: int | None = None, limit: int | None = None,
     return _paged(base.select("id", vectors.dot(F.col("v"), q).alias("score")), n, offset, limit)
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query ids and vectors, in blocks of a checked size; rows are streamed to the driver partition by partition."""
-    ids, held, size = [], [], 0
-    for r in queries.toLocalIterator():
-        ids.append(r[0])
-        held.append(vectors.parse(r[1]))
-        size += held[-1].nbytes
-        if size >= QUERY_BYTES:
-            yield np.array(ids, np.int64), np.stack(held).astype(np.float64)
-            ids, held, size = [], [], 0
-    if ids:
-        yield np.array(ids, np.int64), np.stack(held).astype(np.float64)
-
-
-def _top(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of one query's k best, by score then id."""
-    if k < len(s):
-        cut = np.partition(s, len(s) - k)[len(s) - k]
-        keep = np.flatnonzero(s >= cut)
-    else:
-        keep = np.arange(len(s))
-    return keep[np.lexsort((ids[keep], -s[keep]))][:k]
+class _Top:
+    """The k best rows of each query so far, by score then id."""
 
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.query, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-def _batch(spark: SparkSession, rows: DataFrame, queries: DataFrame, k: int, score) -> DataFrame:
-    ship(spark)
-    out = None
-    for qids, q in _blocks(queries):
-        held = spark.sparkContext.broadcast((qids, q))  # at most QUERY_BYTES and one vector
+    def add(self, ids: np.ndarray, s: np.ndarray) -> None:
+        """s: scores, rows by queries."""
+        if not self.k or not s.size:
+            return
+        cut = self.floor
+        if self.k < len(s):
+            cut = np.maximum(cut, np.partition(s, len(s) - self.k, axis=0)[len(s) - self.k])
+        row, query = np.nonzero(s >= cut)
+        query, id_, score = np.r_[self.query, query], np.r_[self.id, ids[row]], np.r_[self.score, s[row, query]]
+        order = np.lexsort((id_, -score, query))
+        query = query[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = rank < self.k
+        order = order[keep]
+        self.query, self.id, self.score = query[keep], id_[order], score[order]
+        last = rank[keep] == self.k - 1
+        self.floor[self.query[last]] = self.score[last]
+
+    def batch(self, qids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(qids[self.query]), pa.array(self.id), pa.array(self.score)], ["qid", "id", "score"])
+
+
+_HITS = "qid long, id long, score double"
+
+
+def _slices(batch: pa.RecordBatch, queries: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, SCORES // max(queries, 1))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    n = len(lists)
+    if n and len(flat) != n * (len(flat) // n) or (np.diff(lists.offsets.to_numpy()) != (len(flat) // n if n else 0)).any():
+        raise DimensionMismatch("vectors differ in their dimensions")
+    return flat.reshape(n, -1)
+
+
+def _grid(rows: DataFrame, queries: DataFrame, k: int, prepare: Callable, score: Callable, by: list[str], schema: list[str]) -> DataFrame:
+    """The hits of every cell: rows and queries carry the cell's columns ``by``, and each pair of a row and a query shares one cell."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, top = prepare(_matrix(right["embedding"].combine_chunks())), _Top(right.num_rows, k)
+        for batch in left.select(schema).combine_chunks().to_batches() if right.num_rows else []:
+            for part in _slices(batch, len(q)):
+                top.add(part.column(0).to_numpy(), score(part, q))
+        return pa.Table.from_batches([top.batch(right["qid"].to_numpy())])
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    return rows.groupBy(*by).cogroup(queries.groupBy(*by)).applyInArrow(run, _HITS)
+
+
+def _batch(rows: DataFrame, queries: DataFrame, k: int, prepare: Callable, score: Callable) -> DataFrame:
+    """(qid, id, score, rank): score(batch of rows, prepare(query matrix)) gives a matrix, rows by queries."""
+    spark = rows.sparkSession
+    ship(spark)
+    queries = queries.select(F.col(queries.columns[0]).cast("long").alias("qid"), F.col(queries.columns[1]).alias("embedding"))
+    if dict(queries.dtypes)["embedding"] in ("string", "binary"):
+        queries = queries.withColumn("embedding", vectors.f32_array("embedding"))
+    n, dims = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    if n * max(dims or 0, 1) * 8 <= QUERY_BYTES:
+        got = queries.collect()  # at most QUERY_BYTES
+        qids = np.array([r.qid for r in got], np.int64)
+        parsed = [vectors.parse(r.embedding) for r in got]
+        if len({len(x) for x in parsed}) > 1:
+            raise DimensionMismatch("queries differ in their dimensions")
+        held = spark.sparkContext.broadcast((qids, np.stack(parsed).astype(np.float64) if got else np.zeros((0, 0))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q = held.value
-            best_id = [np.zeros(0, np.int64)] * len(qids)
-            best = [np.zeros(0)] * len(qids)
+            if not len(qids):
+                return
+            q, top = prepare(q), _Top(len(qids), k)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column(0).to_numpy()
-                s = score(batch, q)
-                for j in range(len(qids)):
-                    both, bid = np.r_[best[j], s[:, j]], np.r_[best_id[j], ids]
-                    t = _top(both, bid, k)
-                    best[j], best_id[j] = both[t], bid[t]
-            n = [len(b) for b in best]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.concatenate(best_id)), pa.array(np.concatenate(best))], ["qid", "id", "score"])
-
-        part = rows.mapInArrow(run, "qid long, id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "qid long, id long, score double")
+                for part in _slices(batch, len(qids)):
+                    top.add(part.column(0).to_numpy(), score(part, q))
+            yield top.batch(qids)
+
+        found = rows.mapInArrow(run, _HITS)
+    else:
+        across, down = -(-n // QUERY_CELL), max(1, -(-rows.count() // ROW_CELL))
+        names = rows.columns
+        left = rows.withColumn("_r", F.pmod(F.xxhash64("id"), F.lit(down))).withColumn("_q", F.explode(F.expr(f"sequence(0, {across - 1})")).cast("long"))
+        right = queries.withColumn("_q", F.pmod(F.xxhash64("qid"), F.lit(across))).withColumn("_r", F.explode(F.expr(f"sequence(0, {down - 1})")).cast("long"))
+        found = _grid(left, right, k, prepare, score, ["_r", "_q"], names)
+    return _ranked(found, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _inner(batch: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
+    x = _matrix(batch.column(1))
+    if x.shape[1] != q.shape[1]:
+        raise DimensionMismatch(f"vectors differ from the queries' {q.shape[1]} dimensions")
+    return x @ q.T
 
 
 def knn_batch(rows: DataFrame, queries: DataFrame, k: int, filter=None, key: str = "id", column: str = "embedding") -> DataFrame:
     """(qid, id, score, rank): the exact top-k of each row (qid, embedding) of ``queries``."""
-    k = vectors.check_k(k)
     base = allowed(rows.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<float>").alias("v")), filter)
+    return _batch(base, queries, vectors.check_k(k), lambda q: q, _inner)
 
-    def score(batch: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
-        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        if len(flat) != batch.num_rows * q.shape[1]:
-            raise DimensionMismatch(f"vectors differ from the queries' {q.shape[1]} dimensions")
-        return flat.reshape(batch.num_rows, -1) @ q.T
 
-    return _batch(rows.sparkSession, base, queries, k, score)
+def knn_within(rows: DataFrame, by: str, k: int, key: str = "id", column: str = "embedding") -> DataFrame:
+    """(qid, id, score, rank): each row's exact top-k among the other rows of its group, in one pass.
+
+    A group of more than ROW_CELL rows is dealt into cells, and every two cells of it meet in a task of their own.
+    """
+    k = vectors.check_k(k)
+    ship(rows.sparkSession)
+    base = rows.select(F.col(by).alias("_g"), F.col(key).cast("long").alias("id"), F.col(column).cast("array<float>").alias("v"))
+    cells = base.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / QUERY_CELL).alias("_n"))
+    dealt = base.join(cells.withColumnRenamed("_g", "_g2"), F.col("_g").eqNullSafe(F.col("_g2"))).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n"))).withColumn("_other", F.explode(F.expr("sequence(0L, _n - 1)")))
+    left = dealt.select("_g", F.col("_own").alias("_r"), F.col("_other").alias("_q"), "id", "v")
+    right = dealt.select("_g", F.col("_other").alias("_r"), F.col("_own").alias("_q"), F.col("id").alias("qid"), F.col("v").alias("embedding"))
+    found = _grid(left, right, k + 1, lambda q: q, _inner, ["_g", "_r", "_q"], ["id", "v"])  # one more, as a row finds itself
+    return _ranked(found.where("qid <> id"), k)
 
 
 def codes(rows: DataFrame, g: quant.Geometry, key: str = "id", column: str = "embedding") -> DataFrame:
-    """(id, scale, codes) of validated vectors."""
+    """(id, scale, codes, signs) of validated vectors; signs is the codes' highest bit plane, which the staged search reads alone."""
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,32 +221,57 @@ def codes(rows: DataFrame, g: quant.Geometry, key: str = "id", column: str = "em
                 b = batch.slice(a, 4096)
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, g.dimensions)
                 scale, c = quant.quantize(x, g)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scale), pa.array(quant.pack(c, g), pa.binary())], ["id", "scale", "codes"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scale), pa.array(quant.pack(c, g), pa.binary()), pa.array(quant.signs_of(c, g), pa.binary())], ["id", "scale", "codes", "signs"])
 
     valid = vectors.validate(rows.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<float>").alias("embedding")), g.dimensions)
-    return valid.mapInArrow(run, "id long, scale float, codes binary")
+    return valid.mapInArrow(run, "id long, scale float, codes binary, signs binary")
+
+
+def _rotated(g: quant.Geometry) -> Callable[[np.ndarray], np.ndarray]:
+    def prepare(q: np.ndarray) -> np.ndarray:
+        if q.shape[1] != g.dimensions:
+            raise DimensionMismatch(f"queries have {q.shape[1]} dimensions, the index has {g.dimensions}")
+        return quant.rotate(q, g)
+
+    return prepare
+
+
+def _full(g: quant.Geometry) -> Callable[[pa.RecordBatch, np.ndarray], np.ndarray]:
+    def score(batch: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
+        return (g.levels()[quant.unpack(batch.column(2).to_pylist(), g)] @ q.T) * batch.column(1).to_numpy().astype(np.float64)[:, None]
+
+    return score
 
 
 def knn_codes(coded: DataFrame, queries: DataFrame, k: int, g: quant.Geometry, filter=None, staged: bool = False) -> DataFrame:
-    """(qid, id, score, rank) under the compressed score; ``staged`` shortlists by sign planes within large tasks."""
+    """(qid, id, score, rank) under the compressed score.
+
+    ``staged`` (2 and 4 bits; needs the column signs) first takes STAGED_FACTOR * k rows a query, over all tasks, by the sign plane alone, and then
+    scores these in full. How rows lie in tasks and batches doesn't change the result.
+    """
     k = vectors.check_k(k)
+    base = allowed(coded, filter)
+    if not staged or g.bit_width == 3 or not k:
+        return _batch(base.select("id", "scale", "codes"), queries, k, _rotated(g), _full(g))
 
-    def score(batch: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
-        if q.shape[1] != g.dimensions:
-            raise DimensionMismatch(f"queries have {q.shape[1]} dimensions, the index has {g.dimensions}")
-        c = quant.unpack(batch.column(2).to_pylist(), g)
-        scale = batch.column(1).to_numpy()
-        if not staged or g.bit_width == 3 or batch.num_rows <= STAGED_FACTOR * max(k, 1):
-            return quant.scores(scale, c, q, g)
-        coarse = quant.sign_scores(c, q, g)
-        out = np.full(coarse.shape, -np.inf)
-        for j in range(len(q)):
-            short = np.argpartition(-coarse[:, j], STAGED_FACTOR * k)[: STAGED_FACTOR * k]
-            out[short, j] = quant.scores(scale[short], c[short], q[j : j + 1], g)[:, 0]
-        return out
+    def coarse(batch: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
+        return (quant.plane(batch.column(2).to_pylist(), g) @ q.T) * batch.column(1).to_numpy().astype(np.float64)[:, None]
+
+    short = _batch(base.select("id", "scale", "signs"), queries, max(STAGED_FACTOR * k, STAGED_LEAST), _rotated(g), coarse).select("qid", "id")
+    q = queries.select(F.col(queries.columns[0]).cast("long").alias("qid"), F.col(queries.columns[1]).alias("embedding"))
+    if dict(q.dtypes)["embedding"] in ("string", "binary"):
+        q = q.withColumn("embedding", vectors.f32_array("embedding"))
+    rows = short.join(base.select("id", "scale", "codes"), "id").join(q, "qid").select("qid", "id", "scale", "codes", "embedding")
 
-    found = _batch(coded.sparkSession, allowed(coded.select("id", "scale", "codes"), filter), queries, k, score)
-    return found.where("score > double('-Infinity')")
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                b = batch.slice(a, 4096)
+                x = g.levels()[quant.unpack(b.column(3).to_pylist(), g)]
+                s = np.einsum("ij,ij->i", x, quant.rotate(_matrix(b.column(4)), g)) * b.column(2).to_numpy().astype(np.float64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], ["qid", "id", "score"])
+
+    return _ranked(rows.mapInArrow(refine, _HITS), k)
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
@@ -192,3 +281,11 @@ def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     both = a.join(b, "qid", "left")
     share = F.size(F.array_intersect("e", F.coalesce("f", F.array().cast("array<long>")))) / F.size("e")
     return both.agg(F.count(F.lit(1)).alias("queries"), F.avg(share).alias("recall"), F.avg(F.coalesce((F.col("e1") == F.col("f1")).cast("double"), F.lit(0.0))).alias("top1"))
+
+
+def evaluation(found: DataFrame, exact: DataFrame, k: int, seconds: list[float]) -> DataFrame:
+    """:func:`recall` with the queries a second and the 50th, 95th and 99th percentile of their seconds, measured by the caller."""
+    spark = found.sparkSession
+    times = spark.createDataFrame([(float(s),) for s in seconds], "s double")
+    speed = times.agg((F.count(F.lit(1)) / F.sum("s")).alias("qps"), *[F.percentile("s", F.lit(p / 100)).alias(f"p{p}") for p in (50, 95, 99)])
+    return recall(found, exact, k).crossJoin(speed).withColumn("quality_adjusted_qps", F.col("qps") * F.col("recall"))  # one row each

@@ -253,7 +253,7 @@ _query()(_recall(10))
 _query()(_recall(40))
 
 
-@_query()
+@_query(SQL["knn_quant_4bit"])
 def knn_staged_4bit(spark, sf_dir):
     coded, g = _coded(spark, sf_dir, 4)
     return _r(search.knn_codes(coded, batch(spark, sf_dir), 10, g, staged=True))
@@ -366,12 +366,6 @@ def content_pattern_join(spark, sf_dir):
 
 @_query(f"WITH {_E}, p AS (SELECT a.id AS a, b.id AS b, list_inner_product(a.v, b.v) AS s FROM e a, e b WHERE a.label = b.label AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM p) SELECT a, b, round(s, 6) AS score FROM r WHERE k = 1")
 def nearest_in_label(spark, sf_dir):
-    """Each vector's nearest other vector of its label: a batch search a label, each with its own allowlist."""
-    r, out = rows(spark, sf_dir), None
-    for (label,) in sorted(r.select("label").distinct().collect()):
-        mine = r.where(F.col("label") == label)
-        part = search.knn_batch(mine, mine.select("id", "embedding"), 2)
-        out = part if out is None else out.unionByName(part)
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    others = out.where("qid <> id").withColumn("k", F.row_number().over(best)).where("k = 1")
-    return others.select(F.col("qid").alias("a"), F.col("id").alias("b"), F.round("score", 6).alias("score"))
+    """Each vector's nearest other vector of its label."""
+    best = search.knn_within(rows(spark, sf_dir), "label", 1)
+    return best.select(F.col("qid").alias("a"), F.col("id").alias("b"), F.round("score", 6).alias("score"))

@@ -33,7 +33,10 @@ def write_stream(stream: DataFrame, index: VectorIndex, checkpoint: str, **trigg
 
 
 def change_feed(spark: SparkSession, path: str) -> DataFrame:
-    """The index's committed operations as a stream (gen, seq, op, id, embedding), until compaction drops them."""
+    """The index's operations as a stream (gen, seq, op, id, embedding).
+
+    Every commit writes its operations below ``delta``, those that also write a new base too, so no generation is missing.
+    """
     return spark.readStream.schema(OPS + ", gen long").parquet(f"{path}/delta").select("gen", "seq", "op", "id", "embedding")
 
 

@@ -4,7 +4,7 @@ import pytest
 from stratavec import errors
 from stratavec.functions import payload, quant, vectors
 from stratavec.operators import search
-from stratavec.sources.index import VectorIndex, delta_size, must_compact
+from stratavec.sources.index import OPS, VectorIndex, delta_size, must_compact
 
 
 def axis(*k):
@@ -130,7 +130,7 @@ def test_deltas_snapshots_and_corruption(spark, index, monkeypatch):
     assert ids(reader) == [1, 2, 3] and ids(index) == [2, 3, 30]
     assert [r.id for r in index.search(axis(4), k=1).collect()] == [30]
     assert index.verified().count() == 3
-    spark.createDataFrame([(0, "delete", 2, None)], "seq long, op string, id long, embedding array<float>").write.mode("append").parquet(f"{index.path}/delta/gen=3")
+    spark.createDataFrame([(0, "delete", 2, None, None, None, None)], OPS).write.mode("append").parquet(f"{index.path}/delta/gen=3")
     assert index.check() == ["delta 3 differs from its checksum"]
     with pytest.raises(errors.GeometryMismatch):
         VectorIndex.open(spark, index.path, dimensions=16)
