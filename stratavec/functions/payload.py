@@ -131,7 +131,8 @@ def drop(blob: pd.Series, ids: pd.Series) -> pd.Series:
 
 @pandas_udf(LongType())
 def length(blob: pd.Series) -> pd.Series:
-    return blob.map(lambda b: len(Payload.from_bytes(b).ids))
+    """Rows, from the header alone."""
+    return blob.map(lambda b: Payload.header(b)[1])
 
 
 @pandas_udf(IntegerType())

@@ -103,12 +103,13 @@ def scores(scale: np.ndarray, codes: np.ndarray, queries: np.ndarray, g: Geometr
     return (g.levels()[codes] @ rotate(queries, g).T) * scale.astype(np.float64)[:, None]
 
 
-def signs_of(codes: np.ndarray, g: Geometry) -> list[bytes]:
-    """The sign plane: the codes' highest bit, packed."""
-    return [row.tobytes() for row in np.packbits(codes >= 1 << (g.bit_width - 1), axis=1, bitorder="little")]
+def planes_of(codes: np.ndarray, g: Geometry) -> list[bytes]:
+    """The codes' two highest bit planes, packed."""
+    return pack(codes >> (g.bit_width - 2), Geometry(g.dimensions, 2))
 
 
-def plane(packed: list[bytes], g: Geometry) -> np.ndarray:
-    """Sign planes as rows of +-1."""
-    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
-    return np.unpackbits(raw, axis=1, bitorder="little")[:, : g.padded].astype(np.float64) * 2 - 1
+def coarse(packed: list[bytes], g: Geometry) -> np.ndarray:
+    """Rows by their two highest planes: each coordinate is the mean of N(0, 1/d) over the levels it may have."""
+    lv = g.levels().reshape(4, -1)
+    weight = np.exp(-lv * lv * g.padded / 2) * np.gradient(g.levels()).reshape(4, -1)
+    return ((lv * weight).sum(axis=1) / weight.sum(axis=1))[unpack(packed, Geometry(g.dimensions, 2))]

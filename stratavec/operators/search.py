@@ -23,8 +23,8 @@ from stratavec.session import ship
 QUERY_BYTES, SCORES = 16 << 20, 4 << 20
 #: Rows and queries of a cell, where there are more queries.
 ROW_CELL, QUERY_CELL = 65_536, 4_096
-#: Rows from which a staged search shortlists by sign planes first, and how many times k (and at least how many rows) it keeps.
-STAGED_ROWS, STAGED_FACTOR, STAGED_LEAST = 32_768, 16, 256
+#: Rows from which a staged search shortlists by bit planes first, and how many times k (and at least how many rows) it keeps.
+STAGED_ROWS, STAGED_FACTOR, STAGED_LEAST = 32_768, 32, 512
 
 
 def effective_k(k: int | None = None, limit: int | None = None, offset: int = 0, rows: int | None = None, order: str | None = "score desc") -> tuple[int | None, int]:
@@ -138,7 +138,8 @@ def _grid(rows: DataFrame, queries: DataFrame, k: int, prepare: Callable, score:
                 top.add(part.column(0).to_numpy(), score(part, q))
         return pa.Table.from_batches([top.batch(right["qid"].to_numpy())])
 
-    return rows.groupBy(*by).cogroup(queries.groupBy(*by)).applyInArrow(run, _HITS)
+    other = queries.withColumnsRenamed({c: f"{c}2" for c in by})  # rows and queries may come from one table
+    return rows.groupBy(*by).cogroup(other.groupBy(*[f"{c}2" for c in by])).applyInArrow(run, _HITS)
 
 
 def _batch(rows: DataFrame, queries: DataFrame, k: int, prepare: Callable, score: Callable) -> DataFrame:
@@ -171,8 +172,8 @@ def _batch(rows: DataFrame, queries: DataFrame, k: int, prepare: Callable, score
     else:
         across, down = -(-n // QUERY_CELL), max(1, -(-rows.count() // ROW_CELL))
         names = rows.columns
-        left = rows.withColumn("_r", F.pmod(F.xxhash64("id"), F.lit(down))).withColumn("_q", F.explode(F.expr(f"sequence(0, {across - 1})")).cast("long"))
-        right = queries.withColumn("_q", F.pmod(F.xxhash64("qid"), F.lit(across))).withColumn("_r", F.explode(F.expr(f"sequence(0, {down - 1})")).cast("long"))
+        left = rows.withColumn("_r", F.pmod(F.xxhash64("id"), F.lit(down).cast("long"))).withColumn("_q", F.explode(F.expr(f"sequence(0L, {across - 1}L)")))
+        right = queries.withColumn("_q", F.pmod(F.xxhash64("qid"), F.lit(across).cast("long"))).withColumn("_r", F.explode(F.expr(f"sequence(0L, {down - 1}L)")))
         found = _grid(left, right, k, prepare, score, ["_r", "_q"], names)
     return _ranked(found, k)
 
@@ -206,13 +207,13 @@ def knn_within(rows: DataFrame, by: str, k: int, key: str = "id", column: str =
     cells = base.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / QUERY_CELL).alias("_n"))
     dealt = base.join(cells.withColumnRenamed("_g", "_g2"), F.col("_g").eqNullSafe(F.col("_g2"))).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n"))).withColumn("_other", F.explode(F.expr("sequence(0L, _n - 1)")))
     left = dealt.select("_g", F.col("_own").alias("_r"), F.col("_other").alias("_q"), "id", "v")
-    right = dealt.select("_g", F.col("_other").alias("_r"), F.col("_own").alias("_q"), F.col("id").alias("qid"), F.col("v").alias("embedding"))
+    right = dealt.select(F.col("_g").alias("_g"), F.col("_other").alias("_r"), F.col("_own").alias("_q"), F.col("id").alias("qid"), F.col("v").alias("embedding"))
     found = _grid(left, right, k + 1, lambda q: q, _inner, ["_g", "_r", "_q"], ["id", "v"])  # one more, as a row finds itself
     return _ranked(found.where("qid <> id"), k)
 
 
 def codes(rows: DataFrame, g: quant.Geometry, key: str = "id", column: str = "embedding") -> DataFrame:
-    """(id, scale, codes, signs) of validated vectors; signs is the codes' highest bit plane, which the staged search reads alone."""
+    """(id, scale, codes, planes) of validated vectors; planes are the codes' two highest bit planes, which the staged search reads alone."""
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +222,10 @@ def codes(rows: DataFrame, g: quant.Geometry, key: str = "id", column: str = "em
                 b = batch.slice(a, 4096)
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, g.dimensions)
                 scale, c = quant.quantize(x, g)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scale), pa.array(quant.pack(c, g), pa.binary()), pa.array(quant.signs_of(c, g), pa.binary())], ["id", "scale", "codes", "signs"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scale), pa.array(quant.pack(c, g), pa.binary()), pa.array(quant.planes_of(c, g), pa.binary())], ["id", "scale", "codes", "planes"])
 
     valid = vectors.validate(rows.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<float>").alias("embedding")), g.dimensions)
-    return valid.mapInArrow(run, "id long, scale float, codes binary, signs binary")
+    return valid.mapInArrow(run, "id long, scale float, codes binary, planes binary")
 
 
 def _rotated(g: quant.Geometry) -> Callable[[np.ndarray], np.ndarray]:
@@ -246,18 +247,18 @@ def _full(g: quant.Geometry) -> Callable[[pa.RecordBatch, np.ndarray], np.ndarra
 def knn_codes(coded: DataFrame, queries: DataFrame, k: int, g: quant.Geometry, filter=None, staged: bool = False) -> DataFrame:
     """(qid, id, score, rank) under the compressed score.
 
-    ``staged`` (2 and 4 bits; needs the column signs) first takes STAGED_FACTOR * k rows a query, over all tasks, by the sign plane alone, and then
-    scores these in full. How rows lie in tasks and batches doesn't change the result.
+    ``staged`` first takes STAGED_FACTOR * k rows a query, over all tasks, by the two highest bit planes, and then
+    scores these in full; at 2 bits these planes are the whole code, so there it is the full scan. How rows lie in tasks and batches doesn't change the result.
     """
     k = vectors.check_k(k)
     base = allowed(coded, filter)
-    if not staged or g.bit_width == 3 or not k:
+    if not staged or g.bit_width == 2 or not k:
         return _batch(base.select("id", "scale", "codes"), queries, k, _rotated(g), _full(g))
 
     def coarse(batch: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
-        return (quant.plane(batch.column(2).to_pylist(), g) @ q.T) * batch.column(1).to_numpy().astype(np.float64)[:, None]
+        return (quant.coarse(batch.column(2).to_pylist(), g) @ q.T) * batch.column(1).to_numpy().astype(np.float64)[:, None]
 
-    short = _batch(base.select("id", "scale", "signs"), queries, max(STAGED_FACTOR * k, STAGED_LEAST), _rotated(g), coarse).select("qid", "id")
+    short = _batch(base.select("id", "scale", "planes"), queries, max(STAGED_FACTOR * k, STAGED_LEAST), _rotated(g), coarse).select("qid", "id")
     q = queries.select(F.col(queries.columns[0]).cast("long").alias("qid"), F.col(queries.columns[1]).alias("embedding"))
     if dict(q.dtypes)["embedding"] in ("string", "binary"):
         q = q.withColumn("embedding", vectors.f32_array("embedding"))

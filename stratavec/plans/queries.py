@@ -133,17 +133,18 @@ def knn_batch_filtered(spark, sf_dir):
 
 @_query("SELECT vec_id AS id FROM embeddings")
 def ids_scan(spark, sf_dir):
-    return rows(spark, sf_dir).select("id")
+    return _index(spark, sf_dir).ids()
 
 
 @_query("SELECT count(*)::BIGINT AS n FROM embeddings")
 def ids_count(spark, sf_dir):
-    return rows(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(_index(spark, sf_dir).count(),)], "n long")
 
 
 @_query("SELECT vec_id AS id FROM embeddings WHERE vec_id = 17")
 def ids_point_lookup(spark, sf_dir):
-    return rows(spark, sf_dir).where("id = 17").select("id")
+    index = _index(spark, sf_dir)
+    return index.lookup(17).unionByName(index.lookup(-1)).unionByName(index.lookup(1 << 40))
 
 
 @_query("SELECT vec_id AS id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'de')")
@@ -159,8 +160,11 @@ def ids_anti(spark, sf_dir):
 
 @_query("SELECT vec_id AS id, 'delete' AS op FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'insert' FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def reconcile_plan(spark, sf_dir):
-    have, want = rows(spark, sf_dir).select("id"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
-    return have.join(want, "id", "left_anti").withColumn("op", F.lit("delete")).unionByName(want.join(have, "id", "left_anti").withColumn("op", F.lit("insert")))
+    """What reconciling the index with the labelled documents does, as its commit recorded it."""
+    index = _index(spark, sf_dir)
+    axis = F.array(*[F.lit(float(i == 0)).cast("float") for i in range(64)])
+    index.reconcile(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), axis.alias("embedding")))
+    return spark.read.parquet(f"{index.path}/delta/gen=2").select("id", "op")
 
 
 @_query(f"WITH {_E} SELECT id, round(sqrt(list_inner_product(v, v)), 6) AS norm FROM e")
@@ -235,7 +239,7 @@ for _bits in (2, 3, 4):
     _codes_query(_bits)
 
 
-def _recall(k: int):
+def _recall(k: int) -> None:
     def f(spark, sf_dir):
         q, out = batch(spark, sf_dir), None
         exact = search.knn_batch(rows(spark, sf_dir), q, k)
@@ -243,14 +247,22 @@ def _recall(k: int):
             coded, g = _coded(spark, sf_dir, bits)
             part = search.recall(search.knn_codes(coded, q, k, g), exact, k).withColumn("bits", F.lit(bits))
             out = part if out is None else out.unionByName(part)
-        return out
+        return out.select("bits", "queries", F.round("recall", 9).alias("recall"), F.round("top1", 9).alias("top1"))
+
+    def sql(bits: int) -> str:
+        return f"""SELECT {bits} AS bits, count(*)::BIGINT AS queries, round(avg(share), 9) AS recall, round(avg(top1), 9) AS top1 FROM ({_codes_sql(quant.Geometry(64, bits))},
+q AS (SELECT e.id AS qid, e.v AS v, list_transform(d.y, lambda x: x * d.n) AS w FROM e JOIN d ON d.id = e.id WHERE e.id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+f AS (SELECT qid, d.id, row_number() OVER (PARTITION BY qid ORDER BY list_inner_product(x, w) * scale DESC, d.id) AS rank FROM d, q),
+t AS (SELECT qid, e.id, row_number() OVER (PARTITION BY qid ORDER BY list_inner_product(e.v, q.v) DESC, e.id) AS rank FROM e, q)
+SELECT t.qid, count(f.id) / count(*) AS share, max(CASE WHEN t.rank = 1 AND f.rank = 1 THEN 1.0::DOUBLE ELSE 0.0 END) AS top1
+FROM t LEFT JOIN f ON f.qid = t.qid AND f.id = t.id AND f.rank <= {k} WHERE t.rank <= {k} GROUP BY t.qid)"""
 
     f.__name__ = f"recall_at_{k}"
-    return f
+    _query(" UNION ALL ".join(sql(b) for b in (2, 3, 4)))(f)
 
 
-_query()(_recall(10))
-_query()(_recall(40))
+_recall(10)
+_recall(40)
 
 
 @_query(SQL["knn_quant_4bit"])
@@ -277,7 +289,9 @@ def payload_add_remove(spark, sf_dir):
     return more.select("label", payload.length("more").alias("added"), payload.length(payload.drop("more", F.lit(10_000_000))).alias("back"))
 
 
-@_query()
+@_query(_codes_sql(quant.Geometry(64, 4)) + """, q AS (SELECT list_transform(y, lambda x: x * n) AS w FROM d WHERE id = 0),
+s AS (SELECT label, d.id, list_inner_product(x, w) * scale AS score FROM d JOIN e ON e.id = d.id, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS rank FROM s) SELECT label, id, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def payload_knn(spark, sf_dir):
     payload.register(spark)
     q = one(spark, sf_dir).select(F.to_json("embedding").alias("q"))
@@ -325,10 +339,17 @@ def txn_fail_prefix(spark, sf_dir):
 
 @_query("SELECT label, count(*) FILTER (vec_id % 3 <> 0)::BIGINT AS net FROM embeddings GROUP BY label")
 def delta_net_rows(spark, sf_dir):
-    """Rows a change log adds: inserts that replace nothing count 1, deletes -1."""
+    """Rows a commit's log adds: an insert counts 1 unless it replaces a row, a delete -1."""
     r = rows(spark, sf_dir)
-    log = r.select("label", F.lit("insert").alias("op"), F.lit(False).alias("replaces")).unionByName(r.where("id % 3 = 0").select("label", F.lit("delete").alias("op"), F.lit(False).alias("replaces"))).unionByName(r.where("id % 5 = 0").select("label", F.lit("insert").alias("op"), F.lit(True).alias("replaces")))
-    return log.groupBy("label").agg(F.sum(F.when(F.col("op") == "delete", -1).when(F.col("replaces"), 0).otherwise(1)).alias("net"))
+    index = _index(spark, sf_dir, "false")
+    with index.transaction() as t:
+        t.insert(r.select("id", "embedding"))
+        t.insert(r.where("id % 5 = 0").select("id", "embedding"), "replace")
+        t.delete(r.where("id % 3 = 0").select("id"))
+    log = spark.read.parquet(f"{index.path}/delta/gen={index.manifest.generation}")
+    before = F.lag("op").over(Window.partitionBy("id").orderBy("seq"))
+    net = log.withColumn("n", F.when(F.col("op") == "delete", -1).when(F.coalesce(before, F.lit("delete")) == "insert", 0).otherwise(1))
+    return net.join(r.select("id", "label"), "id").groupBy("label").agg(F.sum("n").alias("net"))
 
 
 _POLICY = [(1000, 10, 1, 10), (2 << 20, 1 << 20, 5, 1_000_000), (64 << 20, 16 << 20, 5, 1_000_000), (2 << 20, 2 << 20, 5, 1_000_000), (64 << 20, 10, 9_999, 20_000), (64 << 20, 10, 10_000, 20_000), (64 << 20, 10, 10_000, 80_000)]
@@ -358,6 +379,93 @@ def snapshot_read(spark, sf_dir):
     return spark.range(1).select(F.lit(reader.ids().count()).cast("long").alias("old_count"), F.lit(index.ids().count()).cast("long").alias("new_count"))
 
 
+#: Copies of the vectors that make a base large enough to keep deltas; a copy's ids are shifted.
+COPIES, SHIFT = 60, 1_000_000
+
+
+def _large(spark, sf_dir) -> VectorIndex:
+    index = VectorIndex.create(spark, scratch_path(spark, "index"), dimensions=64, bit_width=4)
+    many = rows(spark, sf_dir).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    index.insert(many.select((F.col("id") + F.col("c") * SHIFT).alias("id"), "embedding"))
+    return index
+
+
+def _edited(spark, sf_dir) -> VectorIndex:
+    """Three commits on a large base, all kept as deltas: new rows, replaced vectors (the negated ones), deletions."""
+    index, r = _large(spark, sf_dir), rows(spark, sf_dir)
+    index.insert(r.where("label = 1").select((F.col("id") + COPIES * SHIFT).alias("id"), "embedding"))
+    index.insert(r.where("label = 3").select("id", F.transform("embedding", lambda x: -x).alias("embedding")), "replace")
+    index.delete(r.where("label = 2").select("id"))
+    return index
+
+
+@_query(_codes_sql(quant.Geometry(64, 4)) + f""", l AS (SELECT d.id, label, list_sum(c)::BIGINT AS s, round(scale, 5) AS scale FROM d JOIN e ON e.id = d.id)
+SELECT id, CASE WHEN label = 3 THEN 960 - s ELSE s END AS code_sum, scale FROM l WHERE label <> 2 UNION ALL SELECT id + {SHIFT}, s, scale FROM l UNION ALL SELECT id + {COPIES * SHIFT}, s, scale FROM l WHERE label = 1""")
+def delta_merge_codes(spark, sf_dir):
+    """Live codes of the first two copies and the added rows, merged from a base and three deltas."""
+    index = _edited(spark, sf_dir)
+    if len(index.manifest.deltas) != 3:
+        raise ValueError("the commits should be kept as deltas")
+    ship(spark)
+    g = index.geometry
+    pick = F.pandas_udf(lambda s: s.map(lambda b: int(quant.unpack([b], g).astype(int).sum())), "long")
+    live = index.rows().where(f"id < {2 * SHIFT} or id >= {COPIES * SHIFT}")
+    return live.select("id", pick("codes").alias("code_sum"), F.round(F.col("scale").cast("double"), 5).alias("scale"))
+
+
+_LIVE = f"SELECT count(*) * {COPIES} + count(*) FILTER (label = 1) - count(*) FILTER (label = 2) AS n, count(*) FILTER (label IN (1, 2, 3)) AS ops, count(*) FILTER (label = 1) AS a, count(*) FILTER (label = 3) AS r, count(*) FILTER (label = 2) AS d, count(*) * {COPIES} AS base FROM embeddings"
+
+
+@_query(f"SELECT base::BIGINT AS before, n::BIGINT AS after, ops::BIGINT AS operations, 3::BIGINT AS deltas, (3 * 16 + 9 * ops + 256 * (a + r))::BIGINT AS delta_bytes, 'ok' AS report FROM ({_LIVE})")
+def delta_catch_up(spark, sf_dir):
+    """A reader opened before three commits, what it sees, and after catching up."""
+    index, r = _large(spark, sf_dir), rows(spark, sf_dir)
+    reader = VectorIndex.open(spark, index.path)
+    before = reader.ids().count()
+    index.insert(r.where("label = 1").select((F.col("id") + COPIES * SHIFT).alias("id"), "embedding"))
+    reader.refresh().ids().count()
+    index.insert(r.where("label = 3").select("id", F.transform("embedding", lambda x: -x).alias("embedding")), "replace")
+    index.delete(r.where("label = 2").select("id"))
+    after, m = reader.refresh().ids().count(), reader.manifest
+    return spark.createDataFrame([(before, after, m.delta_operations, len(m.deltas), m.delta_bytes, reader.check()[0])], "before long, after long, operations long, deltas long, delta_bytes long, report string")
+
+
+@_query(f"SELECT (n * {COPIES - 25})::BIGINT AS count, 0::BIGINT AS deltas, 2::BIGINT AS base, 'ok' AS report FROM (SELECT count(*) AS n FROM embeddings)")
+def delta_compaction(spark, sf_dir):
+    """Deleting over a quarter of the rows writes a new base."""
+    index = _large(spark, sf_dir)
+    index.delete(index.ids().where(f"id < {25 * SHIFT}"))
+    m = index.manifest
+    return spark.createDataFrame([(m.row_count, len(m.deltas), m.base, index.check()[0])], "count long, deltas long, base long, report string")
+
+
+@_query(f"SELECT 1::BIGINT AS gen, 'insert' AS op, (count(*) * {COPIES})::BIGINT AS n FROM embeddings UNION ALL SELECT 2, 'insert', count(*) FROM embeddings WHERE label = 1 UNION ALL SELECT 3, 'insert', count(*) FROM embeddings WHERE label = 3 UNION ALL SELECT 4, 'delete', count(*) FROM embeddings WHERE label = 2")
+def change_feed_operations(spark, sf_dir):
+    """Every commit's operations, read as a stream; the first wrote a new base."""
+    from stratavec.streaming.sink import change_feed
+
+    index, out = _edited(spark, sf_dir), scratch_path(spark, "feed")
+    feed = change_feed(spark, index.path).select("gen", "op", "id")
+    feed.writeStream.format("parquet").option("checkpointLocation", out + "-checkpoint").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).groupBy("gen", "op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(_codes_sql(quant.Geometry(64, 4)) + """, q AS (SELECT list_transform(y, lambda x: x * n) AS w FROM d WHERE id = 0)
+SELECT id, round(list_inner_product(x, w) * scale, 6) AS score FROM d, q WHERE id IN (SELECT id FROM e WHERE label = 3) ORDER BY list_inner_product(x, w) * scale DESC, id LIMIT 7 OFFSET 2""")
+def sql_match(spark, sf_dir):
+    """The search in SQL: allowlist, order, limit and offset."""
+    _index(spark, sf_dir).register("stratavec_ix")
+    rows(spark, sf_dir).createOrReplaceTempView("stratavec_rows")
+    return spark.sql("""SELECT id, round(score, 6) AS score FROM (SELECT id, stratavec_ix_score(scale, codes, (SELECT to_json(embedding) FROM stratavec_rows WHERE id = 0)) AS score FROM stratavec_ix
+        WHERE id IN (SELECT id FROM stratavec_rows WHERE label = 3) ORDER BY score DESC, id LIMIT 7 OFFSET 2)""")
+
+
+@_query("SELECT 1::BIGINT AS generation, count(*)::BIGINT AS count, 4::BIGINT AS bit_width, 64::BIGINT AS dimensions, (44 * count(*))::BIGINT AS serialized_bytes, (44 * count(*))::BIGINT AS base_bytes, 0::BIGINT AS delta_bytes, 0::BIGINT AS delta_operations, 1::BIGINT AS format_version, 2::BIGINT AS format_revision FROM embeddings")
+def sql_info(spark, sf_dir):
+    _index(spark, sf_dir).register("stratavec_facts")
+    return spark.sql("SELECT * FROM stratavec_facts_info").drop("table")
+
+
 @_query("SELECT e.vec_id AS id, l.quality, l.toxic FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id JOIN documents d ON d.doc_id = e.vec_id WHERE d.source LIKE 'src1%'")
 def content_pattern_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where(F.col("source").like("src1%")).select("doc_id")

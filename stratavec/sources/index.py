@@ -1,14 +1,14 @@
 """A versioned, transactional vector index over Parquet.
 
-``base/gen=N`` holds compressed rows (id, scale, codes, signs), sorted by id so that point lookups and clustered allowlists prune
-row groups; ``delta/gen=N`` holds one commit's operations (seq, op, id, embedding, and the embedding's scale, codes and signs: readers
+``base/gen=N`` holds compressed rows (id, scale, codes, planes), sorted by id so that point lookups and clustered allowlists prune
+row groups; ``delta/gen=N`` holds one commit's operations (seq, op, id, embedding, and the embedding's scale, codes and planes: readers
 quantize nothing). ``manifest.json`` names the current
 generation and its files and is replaced by one rename, so a commit is atomic and readers keep the snapshot they opened:
 files of a generation never change. One writer at a time holds ``writer.lock``; a lock that is older than ``LOCK_SECONDS`` is
 a crashed writer's and is taken over. A commit always writes its delta, which the change feed reads; when deltas
 outgrow the policy it also writes a new base, and the manifest starts anew without deltas.
 
-Revision 1 had no signs and only embeddings in its deltas. Such an index can be read as it is; the first commit rewrites it.
+Revision 1 had no planes and only embeddings in its deltas. Such an index can be read as it is; the first commit rewrites it.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from stratavec.session import ship
 
 FORMAT, REVISION = 1, 2
 LOCK_SECONDS = 3600
-CODES = "id long, scale float, codes binary, signs binary"
-OPS = "seq long, op string, id long, embedding array<float>, scale float, codes binary, signs binary"
+CODES = "id long, scale float, codes binary, planes binary"
+OPS = "seq long, op string, id long, embedding array<float>, scale float, codes binary, planes binary"
 _MIB = 1 << 20
 
 
@@ -187,7 +187,7 @@ class VectorIndex:
         return out
 
     def rows(self, pending: DataFrame | None = None) -> DataFrame:
-        """(id, scale, codes, signs) of the live rows: the base less what deltas touched, and the deltas' last word on each id.
+        """(id, scale, codes, planes) of the live rows: the base less what deltas touched, and the deltas' last word on each id.
 
         Deltas are bounded by the compaction policy; the base is only filtered by an anti join, never shuffled by it
         when the deltas fit a broadcast.
@@ -196,25 +196,25 @@ class VectorIndex:
             return self._live[1]
         base, old = self._base(), self.manifest.revision == 1
         if old:
-            base = self._signed(base)
+            base = self._planed(base)
         ops = self._ops()
         if pending is not None:
             pending = pending.withColumn("gen", F.lit(self.manifest.generation + 1))
             ops = pending if ops is None else ops.unionByName(pending)
         if ops is None:
             return base
-        last = ops.groupBy("id").agg(F.max_by(F.struct("op", "embedding", "scale", "codes", "signs"), F.struct("gen", "seq")).alias("x")).select("id", "x.*")
+        last = ops.groupBy("id").agg(F.max_by(F.struct("op", "embedding", "scale", "codes", "planes"), F.struct("gen", "seq")).alias("x")).select("id", "x.*")
         inserts = last.where("op = 'insert'")
-        fresh = search.codes(inserts, self.geometry) if old else inserts.select("id", "scale", "codes", "signs")
+        fresh = search.codes(inserts, self.geometry) if old else inserts.select("id", "scale", "codes", "planes")
         return base.join(last.select("id"), "id", "left_anti").unionByName(fresh)
 
-    def _signed(self, base: DataFrame) -> DataFrame:
+    def _planed(self, base: DataFrame) -> DataFrame:
         g = self.geometry
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                signs = quant.signs_of(quant.unpack(b.column(2).to_pylist(), g), g) if b.num_rows else []
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(signs, pa.binary())], ["id", "scale", "codes", "signs"])
+                planes = quant.planes_of(quant.unpack(b.column(2).to_pylist(), g), g) if b.num_rows else []
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(planes, pa.binary())], ["id", "scale", "codes", "planes"])
 
         ship(self.spark)
         return base.mapInArrow(run, CODES)
@@ -232,7 +232,7 @@ class VectorIndex:
             self._live = None
 
     def register(self, name: str) -> None:
-        """SQL access: the view ``name`` (id, scale, codes, signs), the one-row view ``name_info``, and ``name_score(scale, codes, query)``.
+        """SQL access: the view ``name`` (id, scale, codes, planes), the one-row view ``name_info``, and ``name_score(scale, codes, query)``.
 
         ``SELECT id, name_score(scale, codes, '[..]') AS score FROM name WHERE id IN (..) ORDER BY score DESC, id LIMIT k OFFSET m`` is the search: its
         WHERE comes before the top-k, predicates on an outer query after it.
@@ -365,17 +365,17 @@ def live_ids(base: DataFrame, ops: DataFrame) -> DataFrame:
 def _wrong(g: quant.Geometry, revision: int) -> Column:
     """Whether a row of codes can't be one of this geometry."""
     bad = F.col("id").isNull() | (F.col("id") < 0) | F.coalesce((F.octet_length("codes") != g.code_bytes) | F.isnan("scale") | (F.col("scale") < 0), F.lit(True))
-    return bad if revision == 1 else bad | F.coalesce(F.octet_length("signs") != g.padded // 8, F.lit(True))
+    return bad if revision == 1 else bad | F.coalesce(F.octet_length("planes") != g.padded // 4, F.lit(True))
 
 
 def _base_check(df: DataFrame, revision: int = REVISION) -> list[int]:
-    more = [F.col("scale").cast("string").cast("binary"), F.col("signs")] if revision > 1 else []
+    more = [F.col("scale").cast("string").cast("binary"), F.col("planes")] if revision > 1 else []
     n, s = df.agg(F.count(F.lit(1)), F.sum(F.crc32(F.concat(F.col("id").cast("string").cast("binary"), F.col("codes"), *more)))).first()
     return [n, s or 0]
 
 
 def _ops_check(df: DataFrame, revision: int = REVISION) -> list[int]:
-    names = ["seq", "op", "id", "embedding"] + (["scale", "codes", "signs"] if revision > 1 else [])
+    names = ["seq", "op", "id", "embedding"] + (["scale", "codes", "planes"] if revision > 1 else [])
     n, s = df.agg(F.count(F.lit(1)), F.sum(F.crc32(F.to_json(F.struct(*names)).cast("binary")))).first()
     return [n, s or 0]
 
@@ -449,7 +449,7 @@ class Transaction:
 
     def _add(self, staged: DataFrame, n: int, most: int | None, inserts: int | None) -> int:
         if n:
-            self.ops.append(staged.select((F.col("ord") + self.seq).alias("seq"), "op", "id", F.col("embedding").cast("array<float>").alias("embedding"), "scale", "codes", "signs"))
+            self.ops.append(staged.select((F.col("ord") + self.seq).alias("seq"), "op", "id", F.col("embedding").cast("array<float>").alias("embedding"), "scale", "codes", "planes"))
             self.sizes.append((n, inserts))
             self.seq += most + 1
         return n
@@ -491,7 +491,7 @@ class Transaction:
         return self._stage(self._inserts(good))
 
     def _quantized(self, rows: DataFrame) -> DataFrame:
-        """(o, id, embedding) with scale, codes and signs."""
+        """(o, id, embedding) with scale, codes and planes."""
         g = self.index.geometry
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -499,10 +499,10 @@ class Transaction:
                 for a in range(0, batch.num_rows, 4096):
                     b = batch.slice(a, 4096)
                     scale, c = quant.quantize(b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, g.dimensions), g)
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scale), pa.array(quant.pack(c, g), pa.binary()), pa.array(quant.signs_of(c, g), pa.binary())], ["o", "id", "embedding", "scale", "codes", "signs"])
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scale), pa.array(quant.pack(c, g), pa.binary()), pa.array(quant.planes_of(c, g), pa.binary())], ["o", "id", "embedding", "scale", "codes", "planes"])
 
         ship(self.index.spark)
-        return rows.select("o", "id", "embedding").mapInArrow(run, "o long, id long, embedding array<float>, scale float, codes binary, signs binary")
+        return rows.select("o", "id", "embedding").mapInArrow(run, "o long, id long, embedding array<float>, scale float, codes binary, planes binary")
 
     def _aside(self, df: DataFrame) -> DataFrame:
         path = f"{self.index.path}/staged/{self.token}/{uuid.uuid4().hex}"
@@ -511,7 +511,7 @@ class Transaction:
 
     @staticmethod
     def _inserts(df: DataFrame) -> DataFrame:
-        return df.select(F.col("o").alias("ord"), F.lit("insert").alias("op"), "id", "embedding", "scale", "codes", "signs")
+        return df.select(F.col("o").alias("ord"), F.lit("insert").alias("op"), "id", "embedding", "scale", "codes", "planes")
 
     def delete(self, ids) -> int:
         """Deletes ids (a DataFrame's first column, or a list); absent ids don't count."""
@@ -521,7 +521,7 @@ class Transaction:
             ids = spark.createDataFrame([(int(i),) for i in ids], "id long")
         wanted = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).distinct()
         gone = self.ids().join(wanted, "id", "left_semi")
-        return self._stage(gone.select(F.monotonically_increasing_id().alias("ord"), F.lit("delete").alias("op"), "id", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("float").alias("scale"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("signs")))
+        return self._stage(gone.select(F.monotonically_increasing_id().alias("ord"), F.lit("delete").alias("op"), "id", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("float").alias("scale"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("planes")))
 
     # -- savepoints
     def savepoint(self, name: str) -> None:
