@@ -217,9 +217,11 @@ def groups(docs: DataFrame, shingle: int = 4, distance: int = 4, functions: int
     edges = materialize(near(nodes, distance, spare, total), "near")
     if jaccard is not None:
         edges = _verified(edges, docs, shingle, jaccard, text, key)
-        of = fps.where("doc_id is not null").join(nodes.select("set_id", "node"), "set_id").select("doc_id", "node")
-        several = of.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
-        edges = edges.union(of.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b")))
+    # rows of one id are one document: their nodes are linked
+    several = fps.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    of = fps.join(several, "doc_id").join(nodes.select(same, "node"), same).select("doc_id", "node")
+    least = of.groupBy("doc_id").agg(F.min("node").alias("a"))
+    edges = edges.unionByName(of.join(least, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct())
     comp = graph.components(edges)
     by_node = nodes.join(comp, "node", "left").select(same, F.coalesce("component", "node").alias("component_id"))
     out = fps.join(by_node, same, "left")
