@@ -6,7 +6,8 @@ together without sending every position around, each window of LENGTH bytes has
 Of equal texts only the one of the least id takes part, the others go whole (SHA-256 digests tell). Anchors that occur in
 one text only are dropped (a count over hashes). Around every other anchor its windows are cut out as a snippet; equal snippets are one, with the least document id that has it.
 
-The snippets of an anchor meet in one task. It sorts their suffixes, forms the Burrows-Wheeler transform and derives
+The snippets of an anchor meet in one task; those of an anchor with very many are first split, by finer anchors of nearly a
+window's length. It sorts their suffixes, forms the Burrows-Wheeler transform and derives
 common-prefix lengths by increasing value: breadth-first, every interval of a string W is extended backward to the
 intervals of cW, and an interval whose right neighbour has no value yet gives it the present length. The search stops
 at LENGTH, so what is left without a value is a common prefix of at least LENGTH bytes; suffixes between two values
@@ -35,23 +36,34 @@ LENGTH, GRAM = 50, 16  # bytes of a matching string, and of those an anchor is c
 _SEP = 0xFF  # no UTF-8 text has this byte
 
 
+#: Distinct snippets from which, about, an anchor is hot; one in SAMPLED is counted. Its snippets are split by finer anchors of STEP windows each.
+HOT, SAMPLED, STEP = 2048, 16, 4
 #: Bytes of text hashed or sorted at a time, so that the working arrays stay in a core's cache.
 PIECE = 1 << 18
 
 
+def grams(text: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` bytes from each position."""
+    h = text.astype(np.uint64) + np.uint64(1)
+    prime, have = 0x100000001B3, 1
+    while have < width:
+        ahead = min(have, width - have)  # the last two runs of bytes may overlap
+        h = h[:-ahead] * np.uint64(pow(prime, have, 1 << 64)) + h[ahead:]
+        have += ahead
+    return h
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
 def anchors(raws: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each run of a text's windows with the same anchor: number of the text, the anchor, the first window's start and the last one's."""
     sizes = np.array([len(x) for x in raws], np.int64)
     if sizes.sum() < length:
         return (np.zeros(0, np.int64),) * 4
-    h = np.frombuffer(b"".join(raws), np.uint8).astype(np.uint64) + np.uint64(1)
-    prime, width = 0x100000001B3, 1
-    while width < GRAM:
-        ahead = min(width, GRAM - width)  # the last two runs of bytes may overlap
-        h = h[:-ahead] * np.uint64(pow(prime, width, 1 << 64)) + h[ahead:]
-        width += ahead
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
+    h = mixed(grams(np.frombuffer(b"".join(raws), np.uint8), GRAM))
     span, least, have = length - GRAM + 1, h, 1
     while have < span:
         ahead = min(have, span - have)
@@ -171,6 +183,32 @@ def joined_text(snippets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text, sizes
 
 
+def split(snippets: pa.Array, h: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The snippets of anchors h in smaller parts: number of the snippet, a finer anchor, the part's place in the snippet, the part.
+
+    A window's finer anchor is the hash of nearly all of it: of length - STEP + 1 bytes whose place the anchor's first occurrence in the
+    window tells, to STEP bytes. So equal windows have equal finer anchors, and a part has at most STEP windows.
+    """
+    text, sizes = joined_text(snippets)
+    ends = np.cumsum(sizes + 1)
+    starts = ends - sizes - 1
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    here = np.full(len(text), len(text))
+    at = np.flatnonzero(mixed(grams(text, GRAM)).view(np.int64) == h[owner[: len(text) - GRAM + 1]])
+    at = at[at + GRAM < ends[owner[at]]]
+    here[at] = at
+    here = np.minimum.accumulate(here[::-1])[::-1]
+    window = np.flatnonzero(np.arange(len(text)) < (ends - length)[owner])
+    offset = (here[window] - window) // STEP
+    base = here[window] - offset * STEP
+    first = np.flatnonzero(np.r_[True, (base[1:] != base[:-1]) | (owner[window[1:]] != owner[window[:-1]])])
+    last = np.r_[first[1:], len(window)] - 1
+    finer = mixed(grams(text, length - STEP + 1)[base[first]] * np.uint64(2 * STEP + 1) + offset[first].astype(np.uint64))
+    begin, size = window[first], window[last] - window[first] + length
+    parts = tokens.binaries(text[np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)], size)
+    return owner[begin], finer.view(np.int64), begin - starts[owner[begin]], parts
+
+
 def decide(snippets: pa.Array, docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """The least document id of the string of each window of each snippet (at least ``length`` bytes), and how many windows a snippet has."""
     text, sizes = joined_text(snippets)
@@ -267,6 +305,22 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
     occ = materialize(occ.withColumn("sid", F.xxhash64("snip")), "snippets")
     remove(spark, mine)
 
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in tokens.byte_groups(batch.column(4), PIECE):
+                part = batch.slice(x, y - x)
+                owner, key, at, parts = split(part.column(4), part.column(2).to_numpy(), length)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner)), pa.array(key), pa.array(part.column(3).to_numpy()[owner] + at), parts], ["doc", "row", "h", "at", "snip"])
+
+    # how many snippets an anchor has decides only where they are sorted, so a share of them is counted
+    some = occ.where(F.pmod("sid", F.lit(SAMPLED)) == 0).select("h", "sid").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    hot = materialize(some.where(F.col("n") >= max(1, HOT // SAMPLED)).select("h"), "hot-anchors")
+    tables = [occ, hot]
+    if hot.head(1):
+        parts = occ.join(hot, "h", "left_semi").select("doc", "row", "h", "at", "snip").mapInArrow(finer, "doc long, row long, h long, at long, snip binary")
+        tables.append(materialize(parts.withColumn("sid", F.xxhash64("snip")), "hot-parts"))
+        occ = occ.join(hot, "h", "left_anti").unionByName(tables[-1])
+
     distinct = occ.groupBy("h", "snip").agg(F.min("doc").alias("doc")).withColumn("sid", F.xxhash64("snip"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +357,7 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
     back = occ.select("doc", "row", "h", "at", "sid").join(judged, (F.col("h") == F.col("h2")) & (F.col("sid") == F.col("s2")))
     gone = back.select("doc", "row", "at", F.explode(F.expr("filter(runs, r -> r.m < doc)")).alias("r")).select("doc", "row", F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b")).alias("s"))
     out = materialize(gone.groupBy("doc", "row").agg(F.collect_set("s").alias("spans")).unionByName(copies), "spans")
-    for x in (occ, judged, first):
+    for x in (*tables, judged, first):
         remove(spark, x)
     return out
 

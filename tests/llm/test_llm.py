@@ -356,6 +356,36 @@ def test_forest(spark, monkeypatch):
     assert rpforest.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_trees_go_on_below_a_small_sample(spark, monkeypatch):
+    monkeypatch.setattr(rpforest, "SAMPLE", 200)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, 1200, 2):  # pairs just above the threshold
+        e = rng.standard_normal(48)
+        e -= (e @ x[i]) * x[i]
+        c = rng.uniform(0.951, 0.96)
+        x[i + 1] = c * x[i] + np.sqrt(1 - c * c) * e / np.linalg.norm(e)
+    s = x @ x.T >= 0.95
+    np.fill_diagonal(s, False)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in rpforest.near_duplicates(table, leaf=40).collect()}
+    assert all(got[i] <= s[i].sum() for i in range(3000)) and sum(got.values()) >= 0.99 * s.sum() and s.sum() >= 1200
+    sample = x[:200]
+    tree = rpforest.grow(sample, 15.0, 40, 0.02, rng)
+    below = rng.standard_normal((rpforest.DEEP, 48))
+    below /= np.linalg.norm(below, axis=1, keepdims=True)
+    rows, leaves = rpforest.route(tree, below, x, 0.0)
+    assert sorted(rows.tolist()) == list(range(3000)) and np.unique(leaves, return_counts=True)[1].max() < 400
+
+
+def test_rows_of_an_id_are_one_document(spark):
+    a, b = " ".join(f"p{i}" for i in range(40)), " ".join(f"q{i}" for i in range(40))
+    table = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (11, "z y x w v"), (None, a)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.groups(table).collect())
+    assert got == [(0, 0), (3, 3), (5, 3), (5, 3), (9, 3), (11, 11)]
+
+
 def brute_substrings(rows, length=50):
     least = {}
     for i, t, *_ in rows:
@@ -381,6 +411,25 @@ def test_substrings(docs, empty, rows):
     assert substrings.dedup(empty).count() == 0
 
 
+def test_substrings_of_hot_anchors(spark, rows, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 1)
+    monkeypatch.setattr(substrings, "SAMPLED", 1)
+    r = random.Random(3)
+    line = "this line stands in every one of the documents, and around it all is different;"
+    more = [(1000 + i, f"{r.random()} {line} {r.random()}" * (1 + i % 2), "", "", 0) for i in range(40)] + [(2000, "ab" * 400, "", "", 0), (2001, "xab" + "ab" * 300 + "x", "", "", 0)]
+    table = [x[:2] for x in rows + more]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in substrings.dedup(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_substrings(table)
+
+
+def test_substrings_of_repeated_and_missing_ids(spark):
+    long = "a passage of more than fifty bytes that comes again and again in this table"
+    table = [(4, long), (4, long), (4, "x" + long), (None, long), (None, long), (7, long + "!"), (9, None), (9, "")]
+    got = sorted((r.doc_id or 99, r.n_bytes, r.n_removed) for r in substrings.dedup(spark.createDataFrame(table, "doc_id long, text string")).collect())
+    n = len(long)
+    assert got == sorted([(4, n, 0), (4, n, 0), (4, n + 1, 0), (99, n, n), (99, n, n), (7, n + 1, n), (9, 0, 0), (9, 0, 0)])
+
+
 def test_jpeg_round_trip_and_damage(docs, empty, rows):
     r = np.random.default_rng(0)
     payloads = [bytes(64), b"\xff" * 128, r.integers(0, 256, 64 * 40, dtype=np.uint8).tobytes()]
