@@ -257,9 +257,11 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
     # digests alone are shuffled; equal SHA-256 digests are equal texts
     narrow = rows.select("doc", F.xxhash64("text").alias("row"), F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2("text", 256)).alias("digest")).where(F.col("n") >= length)
     narrow = materialize(narrow, "digests")
-    least = narrow.groupBy("digest").agg(F.min("doc").alias("first"))
-    first = materialize(narrow.join(least, "digest").select("doc", "row", "n", "first").distinct(), "texts")
+    # only texts with copies are joined, as a table, so that one with very many rows can be split
+    copied = materialize(narrow.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("digest", "first"), "copied-texts")
+    first = materialize(narrow.join(copied, "digest", "left").select("doc", "row", "n", F.coalesce("first", "doc").alias("first")).distinct(), "texts")
     remove(spark, narrow)
+    remove(spark, copied)
     copies = first.where("doc > first").select("doc", "row", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("spans"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
