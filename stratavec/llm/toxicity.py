@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from stratavec.session import materialize, ship
+from stratavec.session import materialize, ship, trim
 
 from . import tokens
 from .sharding import seeded_hash
@@ -38,7 +38,7 @@ from .sharding import seeded_hash
 #: Precision and toxic documents that a feature of the lexicon has at least.
 PRECISION, SUPPORT = 0.4, 4
 #: Bytes of text a worker handles at a time, and tokens it remembers.
-SLICE, REMEMBERED = 1 << 20, 300_000
+SLICE, REMEMBERED = 1 << 20, 200_000
 # Model alphabet: 0 word edge, 1-26 a-z, 27 any other character.
 _ALPHABET = 28
 # The letters a sign may stand for in leetspeak.
@@ -171,7 +171,7 @@ class Restorer:
         got = self.known.get((w, edges))
         if got is None:
             got = w if len(w) > _KEPT and _CODE.fullmatch(w) else decode(w, self.lm, edges)
-            if len(self.known) < 200_000 and len(w) <= _KEPT:
+            if len(self.known) < REMEMBERED // 2 and len(w) <= _KEPT:
                 self.known[w, edges] = got
         return got
 
@@ -278,6 +278,8 @@ def lexicon(docs: DataFrame, labels: DataFrame, lm: list, sample: int = 20_000,
                 texts = batch.column(1).slice(a, b - a).to_pylist()
                 feats = [sorted({f for w in words(t or "", rest) for f in beginnings(w)}) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array([_sketch(t or "") for t in texts], pa.int64()), batch.column(2).slice(a, b - a), pa.array(feats, pa.list_(pa.string()))], ["k", "y", "f"])
+        del rest
+        trim()
 
     ship(docs.sparkSession)
     seen = rows.mapInArrow(sketch, "k long, y int, f array<string>").groupBy("k").agg(F.avg("y").alias("y"), F.max_by("f", F.struct(F.size("f"), "f")).alias("f")).drop("k")
@@ -314,6 +316,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, text: str =
                 part = batch.slice(a, b - a)
                 got = [scorer.score(t) for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], pa.array(got, pa.float64())], [*own, "score"])
+        del scorer
+        trim()
 
     rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(carry, own)], *([] if sent else [F.col(text).cast("string").alias("t")]))
     out = rows.mapInArrow(run, StructType([*rows.schema.fields[: len(own)], StructField("score", DoubleType())]))
