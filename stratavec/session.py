@@ -83,21 +83,28 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is executed inside go when it has ended; for writes whose plan isn't executed again."""
-    was = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """SQL settings (dots as two underscores) that hold inside; what was set before comes back."""
+    keys = {k.replace("__", "."): str(v) for k, v in values.items()}
+    was = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and return it reread: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, compression: str = "zstd", batch: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return it reread: cuts lineage and survives lost executors.
+
+    batch: rows handed to Python at a time, where they hold whole texts. Shuffle files go when the table is written.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with dropping_shuffles(spark):
+    more = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(batch)} if batch else {}
+    with settings(spark, **{_CLEANUP.replace(".", "__"): "true"}, **more):
         df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
