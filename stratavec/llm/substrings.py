@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.session import materialize, remove, ship
+from stratavec.session import materialize, remove, ship, trim
 
 from . import tokens
 
@@ -40,6 +40,8 @@ _SEP = 0xFF  # no UTF-8 text has this byte
 HOT, SAMPLED, STEP = 2048, 16, 4
 #: Bytes of text hashed or sorted at a time, so that the working arrays stay in a core's cache.
 PIECE = 1 << 18
+#: Whole texts handed to Python at a time.
+BATCH = 1000
 
 
 def grams(text: np.ndarray, width: int) -> np.ndarray:
@@ -256,11 +258,9 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
 
     # digests alone are shuffled; equal SHA-256 digests are equal texts
     narrow = rows.select("doc", F.xxhash64("text").alias("row"), F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2("text", 256)).alias("digest")).where(F.col("n") >= length)
-    narrow = materialize(narrow, "digests")
     # only texts with copies are joined, as a table, so that one with very many rows can be split
     copied = materialize(narrow.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select("digest", "first"), "copied-texts")
     first = materialize(narrow.join(copied, "digest", "left").select("doc", "row", "n", F.coalesce("first", "doc").alias("first")).distinct(), "texts")
-    remove(spark, narrow)
     remove(spark, copied)
     copies = first.where("doc > first").select("doc", "row", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("spans"))
 
@@ -275,12 +275,13 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
                 each, h = keys[a:b][owner[new]], h[new]
                 for at in range(0, len(h), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (each, h)], ["row", "h"])
+        trim()
 
     found = keyed.select("row", "text").mapInArrow(hashes, "row long, h long")
-    repeated = materialize(found.groupBy("h").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("h"), "anchors")
+    repeated = materialize(found.groupBy("h").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("h"), "anchors", batch=BATCH)
     by_row = found.join(repeated, "h", "left_semi").groupBy("row").agg(F.collect_set("h").alias("hs"))
     one = first.where("doc = first").select("doc", F.col("row").alias("r"))
-    mine = materialize(one.join(by_row, F.col("r") == F.col("row")).select("doc", "row", "hs"), "anchors-by-text")
+    mine = materialize(one.join(by_row, F.col("r") == F.col("row")).select("doc", "row", "hs"), "anchors-by-text", batch=BATCH)
     remove(spark, repeated)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,6 +298,7 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
                     z = slice(i, i + 20_000)
                     snips = [raws[k][s:e] for k, s, e in zip(o[z].tolist(), at[z].tolist(), to[z].tolist())]
                     yield pack([docs_[x + o[z]], rows_[x + o[z]], h[hit[z]], at[z], snips])
+        trim()
 
     def pack(out: list[list]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -304,7 +306,7 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
 
     both = keyed.join(mine, ["doc", "row"])
     occ = both.select("doc", "row", "text", "hs").mapInArrow(cut, "doc long, row long, h long, at long, snip binary")
-    occ = materialize(occ.withColumn("sid", F.xxhash64("snip")), "snippets")
+    occ = materialize(occ.withColumn("sid", F.xxhash64("snip")), "snippets", batch=BATCH)
     remove(spark, mine)
 
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +321,7 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
     hot = materialize(some.where(F.col("n") >= max(1, HOT // SAMPLED)).select("h"), "hot-anchors")
     tables = [occ, hot]
     if hot.head(1):
-        parts = occ.join(hot, "h", "left_semi").select("doc", "row", "h", "at", "snip").mapInArrow(finer, "doc long, row long, h long, at long, snip binary")
+        parts = occ.join(hot, "h", "left_semi").select("doc", "row", "h", "at", "snip").mapInArrow(finer, "doc long, row long, h long, at long, snip binary").repartition("row", "at")  # few files, none much larger
         tables.append(materialize(parts.withColumn("sid", F.xxhash64("snip")), "hot-parts"))
         occ = occ.join(hot, "h", "left_anti").unionByName(tables[-1])
 
@@ -340,6 +342,8 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
                 size = 0 if last else -size  # a larger anchor waits until it has doubled
         if held:
             yield from settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        held.clear()
+        trim()
 
     def settle(now: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not now.num_rows:
