@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from stratavec.errors import DimensionMismatch, InvalidSearch
 from stratavec.functions import quant, vectors
-from stratavec.session import ship
+from stratavec.session import materialize, ship
 
+#: Rows up to which a top-k is held by every task; longer pages are cut out of the written order.
+TOP = 10_000
 #: Bytes of query vectors broadcast at most, and scores a task computes at a time.
 QUERY_BYTES, SCORES = 16 << 20, 4 << 20
 #: Rows and queries of a cell, where there are more queries.
@@ -63,11 +65,26 @@ def allowed(df: DataFrame, filter: DataFrame | list | None, key: str = "id") ->
     return df.join(filter.select(F.col(name).cast("long").alias("_allowed")).where("_allowed >= 0"), F.col(key) == F.col("_allowed"), "left_semi")
 
 
-def _paged(scored: DataFrame, n: int | None, offset: int, limit: int | None) -> DataFrame:
-    out = scored.orderBy(F.desc("score"), "id")
-    if n is not None:
+def _paged(scored: DataFrame, n: int | None, offset: int) -> DataFrame:
+    """Rows ``offset`` to ``n`` (null: all) by score and id.
+
+    A page that ends beyond TOP is found by place: the order is written, a row's place is its place in its partition
+    and what the partitions before it hold. So no task holds or gets more than its own range.
+    """
+    order = [F.desc("score"), F.col("id")]
+    out = scored.orderBy(*order)
+    if n is None and not offset:
+        return out
+    if n is not None and n <= TOP:
         out = out.limit(n)
-    return out.offset(offset) if offset else out
+        return out.offset(offset) if offset else out
+    placed = materialize(out.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.col("_at")
+    page = placed.join(F.broadcast(before), "_part").where(place >= offset)  # one row a partition
+    return (page if n is None else page.where(place < n)).select(*scored.columns).orderBy(*order)
 
 
 def knn(rows: DataFrame, query, k: int | None = None, limit: int | None = None, offset: int = 0, filter=None, order: str | None = "score desc", key: str = "id", column: str = "embedding") -> DataFrame:
@@ -79,7 +96,7 @@ def knn(rows: DataFrame, query, k: int | None = None, limit: int | None = None,
         q = F.col("q")
     else:
         q = F.array(*[F.lit(float(x)) for x in vectors.parse(query)])
-    return _paged(base.select("id", vectors.dot(F.col("v"), q).alias("score")), n, offset, limit)
+    return _paged(base.select("id", vectors.dot(F.col("v"), q).alias("score")), n, offset)
 
 
 class _Top:

@@ -207,6 +207,18 @@ def test_staged_search_ignores_how_rows_lie_in_tasks(spark, monkeypatch):
     assert found[0] == found[1] and len({x[:2] for x in found[0]} & full) >= 0.99 * len(full)
 
 
+def test_long_pages_are_cut_by_place(spark, monkeypatch):
+    monkeypatch.setattr(search, "TOP", 10)
+    table = frame(spark, [(i, [float(i % 7)] + [0.0] * 7) for i in range(60)]).repartition(5)
+    want = [r for _, r in sorted((-(i % 7), i) for i in range(60))]
+    for k, limit, offset in ((1_000_000_000, None, 0), (25, None, 3), (None, 40, 5), (None, -1, 50), (60, None, 60), (12, None, 0), (4, None, 2)):
+        out = search.knn(table, axis(0), k=k, limit=limit, offset=offset)
+        end = k if k is not None else limit + offset if limit >= 0 else 60
+        assert [r.id for r in out.collect()] == want[offset:end]
+    plan = search.knn(table, axis(0), k=1_000_000_000)._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+
+
 def test_large_query_tables_meet_rows_in_a_grid(spark, monkeypatch):
     x = unit_rows()
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
