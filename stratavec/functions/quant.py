@@ -110,6 +110,14 @@ def planes_of(codes: np.ndarray, g: Geometry) -> list[bytes]:
 
 def coarse(packed: list[bytes], g: Geometry) -> np.ndarray:
     """Rows by their two highest planes: each coordinate is the mean of N(0, 1/d) over the levels it may have."""
+    return coarse_with_rest(packed, g)[0]
+
+
+def coarse_with_rest(packed: list[bytes], g: Geometry) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`coarse`, and for each row the most that its whole code can be away from that, as a norm."""
     lv = g.levels().reshape(4, -1)
     weight = np.exp(-lv * lv * g.padded / 2) * np.gradient(g.levels()).reshape(4, -1)
-    return ((lv * weight).sum(axis=1) / weight.sum(axis=1))[unpack(packed, Geometry(g.dimensions, 2))]
+    mean = (lv * weight).sum(axis=1) / weight.sum(axis=1)
+    cells = unpack(packed, Geometry(g.dimensions, 2))
+    widest = np.abs(lv - mean[:, None]).max(axis=1)
+    return mean[cells], np.sqrt((widest * widest)[cells].sum(axis=1))

@@ -113,7 +113,7 @@ class _Top:
         cut = self.floor
         if self.k < len(s):
             cut = np.maximum(cut, np.partition(s, len(s) - self.k, axis=0)[len(s) - self.k])
-        row, query = np.nonzero(s >= cut)
+        row, query = np.nonzero((s >= cut) & (s > -np.inf))
         query, id_, score = np.r_[self.query, query], np.r_[self.id, ids[row]], np.r_[self.score, s[row, query]]
         order = np.lexsort((id_, -score, query))
         query = query[order]
@@ -264,8 +264,9 @@ def _full(g: quant.Geometry) -> Callable[[pa.RecordBatch, np.ndarray], np.ndarra
 def knn_codes(coded: DataFrame, queries: DataFrame, k: int, g: quant.Geometry, filter=None, staged: bool = False) -> DataFrame:
     """(qid, id, score, rank) under the compressed score.
 
-    ``staged`` first takes STAGED_FACTOR * k rows a query, over all tasks, by the two highest bit planes, and then
-    scores these in full; at 2 bits these planes are the whole code, so there it is the full scan. How rows lie in tasks and batches doesn't change the result.
+    ``staged`` first takes STAGED_FACTOR * k rows a query, over all tasks, by the two highest bit planes, and scores these
+    in full; the k-th score is then a floor, and all rows whose planes allow a score that high are scored in full too. So the
+    result is the full scan's; at 2 bits these planes are the whole code, so there it is the full scan.
     """
     k = vectors.check_k(k)
     base = allowed(coded, filter)
@@ -289,7 +290,55 @@ def knn_codes(coded: DataFrame, queries: DataFrame, k: int, g: quant.Geometry, f
                 s = np.einsum("ij,ij->i", x, quant.rotate(_matrix(b.column(4)), g)) * b.column(2).to_numpy().astype(np.float64)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], ["qid", "id", "score"])
 
-    return _ranked(rows.mapInArrow(refine, _HITS), k)
+    floors = _ranked(rows.mapInArrow(refine, _HITS), k).where(F.col("rank") == k).groupBy("qid").agg(F.min("score").alias("_f"))
+    # the floor goes with the query as its last coordinate, lowered beyond what single precision rounds
+    lowered = F.coalesce(F.greatest(F.col("_f") - F.abs("_f") * 1e-6, F.lit(_NO_FLOOR)), F.lit(_NO_FLOOR)).cast("float")
+    floored = materialize(q.join(floors, "qid", "left").select("qid", F.concat(F.col("embedding").cast("array<float>"), F.array(lowered)).alias("embedding")), "floors")
+    return _batch(base.select("id", "scale", "planes", "codes"), floored, k, _floored(g), _above(g))
+
+
+_NO_FLOOR = -9e15
+
+
+def _floored(g: quant.Geometry) -> Callable[[np.ndarray], _Queries]:
+    return lambda q: _Queries(_rotated(g)(q[:, :-1]), q[:, -1])
+
+
+class _Queries:
+    """Rotated queries with their floors."""
+
+    def __init__(self, q: np.ndarray, floor: np.ndarray):
+        self.q, self.floor, self.norm = q, floor, np.sqrt((q * q).sum(axis=1))
+
+    def __len__(self) -> int:
+        return len(self.q)
+
+
+def _above(g: quant.Geometry) -> Callable[[pa.RecordBatch, _Queries], np.ndarray]:
+    """Full scores of the rows that may reach a query's floor, minus infinity elsewhere.
+
+    A row's score is off its planes' by at most its scale times the norms of the query and of the widest rest the planes leave.
+    Matrix products round by their shape, so what reaches the floor is summed pair by pair: equal rows have equal scores.
+    """
+
+    def score(batch: pa.RecordBatch, of: _Queries) -> np.ndarray:
+        scale = batch.column(1).to_numpy().astype(np.float64)
+        near, rest = quant.coarse_with_rest(batch.column(2).to_pylist(), g)
+        s = near @ of.q.T
+        s += rest[:, None] * (of.norm * (1 + 1e-6))
+        s *= scale[:, None]
+        may = s >= of.floor
+        s.fill(-np.inf)
+        rows = np.flatnonzero(may.any(axis=1))
+        x, scale = g.levels()[quant.unpack(batch.column(3).take(pa.array(rows)).to_pylist(), g)], scale[rows]
+        full = (x @ of.q.T + 1e-12 * of.norm) * scale[:, None]
+        i, j = np.nonzero(may[rows] & (full >= of.floor))
+        for k in range(0, len(i), 65_536):
+            a, b = i[k : k + 65_536], j[k : k + 65_536]
+            s[rows[a], b] = np.einsum("ij,ij->i", x[a], of.q[b]) * scale[a]
+        return s
+
+    return score
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:

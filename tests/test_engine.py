@@ -207,6 +207,30 @@ def test_staged_search_ignores_how_rows_lie_in_tasks(spark, monkeypatch):
     assert found[0] == found[1] and len({x[:2] for x in found[0]} & full) >= 0.99 * len(full)
 
 
+def test_staged_search_is_the_full_scan(spark, monkeypatch):
+    """A shortlist of one row a query, filled by copies and by rows whose two planes flatter them."""
+    monkeypatch.setattr(search, "STAGED_LEAST", 1)
+    monkeypatch.setattr(search, "STAGED_FACTOR", 1)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.standard_normal((300, 64)), np.repeat(rng.standard_normal((30, 64)), 20, axis=0)])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((40, 64)))], "id long, embedding array<float>")
+    for bits in (3, 4):
+        g = quant.Geometry(64, bits)
+        coded = search.codes(table, g)
+        scale, codes = quant.quantize(x.astype(np.float32), g)
+        for k, batch in ((7, queries), (1000, queries.where("id < 2")), (1, queries.where("id = 3"))):
+            got = {(r.qid, r["rank"]): r.id for r in search.knn_codes(coded, batch, k, g, staged=True).collect()}
+            for q in batch.collect():
+                s = np.round(quant.scores(scale, codes, np.float32([q.embedding]), g)[:, 0], 9)
+                want = np.lexsort((np.arange(len(x)), -s))[:k]
+                assert [got[q.id, n + 1] for n in range(len(want))] == want.tolist()
+    monkeypatch.setattr(search, "QUERY_BYTES", 100)
+    again = {(r.qid, r.id) for r in search.knn_codes(coded, queries, 7, g, staged=True).collect()}
+    assert again == {(r.qid, r.id) for r in search.knn_codes(coded, queries, 7, g).collect()}
+    assert search.knn_codes(coded, queries.limit(0), 7, g, staged=True).count() == 0
+
+
 def test_long_pages_are_cut_by_place(spark, monkeypatch):
     monkeypatch.setattr(search, "TOP", 10)
     table = frame(spark, [(i, [float(i % 7)] + [0.0] * 7) for i in range(60)]).repartition(5)
