@@ -218,6 +218,17 @@ def test_line_stage_takes_short_repeated_passages(spark, rows):
     assert corpus_pipeline.dedup_lines(spark, table.limit(0), "").count() == 0
 
 
+def test_line_stage_takes_chunks_without_the_check_after_them(spark, rows, monkeypatch):
+    monkeypatch.setattr(linechunks, "_PAIRS", "filter(array(struct(0 as a, 0 as b, binary('') as d)), x -> false)")
+    monkeypatch.setattr(linechunks, "_LONG", "filter(array(struct(0 as a, 0 as b, binary('') as d)), x -> false)")
+    body = "\n".join(f"line {k} of many" for k in range(20))
+    texts = [(i, t) for i, t, *_ in rows] + [(300, body), (301, f"begin\n{body}\nend")]
+    table = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts], SCHEMA).repartition(3)
+    got = {x.doc_id: x.text for x in corpus_pipeline.dedup_lines(spark, table, "").collect()}
+    want = {i: t for i, t in brute_line_chunks(texts).items() if t is None or t.strip(" ") or t == dict(texts)[i]}
+    assert got == want and len(want[301]) < len(body) / 2
+
+
 def brute_components(n, linked):
     parent = list(range(n))
 
