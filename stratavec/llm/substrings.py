@@ -5,6 +5,8 @@ together without sending every position around, each window of LENGTH bytes has
 16-byte strings. Equal windows have equal anchors, and one anchor serves about 18 windows in a row.
 Of equal texts only the one of the least id takes part, the others go whole (SHA-256 digests tell). Anchors that occur in
 one text only are dropped (a count over hashes). Around every other anchor its windows are cut out as a snippet; equal snippets are one, with the least document id that has it.
+Snippets overlap, so those of a text in which every anchor is repeated are over three times its size. They are therefore cut, sorted and dropped
+a part of the anchors at a time, and only the texts with their anchors' places stay on disk: a part's snippets are at most about SHARE of the texts.
 
 The snippets of an anchor meet in one task; those of an anchor with very many are first split, by finer anchors of nearly a
 window's length. It sorts their suffixes, forms the Burrows-Wheeler transform and derives
@@ -42,6 +44,8 @@ HOT, SAMPLED, STEP = 2048, 16, 4
 PIECE = 1 << 18
 #: Whole texts handed to Python at a time.
 BATCH = 1000
+#: Bytes of snippets in a part of the anchors, as a share of the texts' bytes, and bytes that always fit in one part.
+SHARE, SMALL = 0.6, 1 << 26
 
 
 def grams(text: np.ndarray, width: int) -> np.ndarray:
@@ -284,30 +288,52 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
     mine = materialize(one.join(by_row, F.col("r") == F.col("row")).select("doc", "row", "hs"), "anchors-by-text", batch=BATCH)
     remove(spark, repeated)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts with their repeated anchors, the snippets' places and sizes, and the bytes of text and snippets."""
         for batch in batches:
-            docs_, rows_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = batch.column(2).cast(pa.binary())
-            for x, y in pieces(pc.binary_length(texts).to_pylist()):
-                raws = texts.slice(x, y - x).to_pylist()
-                owner, h, a, b = anchors(raws, length)
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            for x, y in pieces(sizes.tolist()):
+                owner, h, a, b = anchors(texts.slice(x, y - x).to_pylist(), length)
                 hs = batch.column(3).slice(x, y - x)
                 hit = np.flatnonzero(np.isin(h, hs.flatten().to_numpy()))  # repeated for one text is repeated for all
-                o, at, to = owner[hit], a[hit], b[hit] + length
-                for i in range(0, len(hit), 20_000):
-                    z = slice(i, i + 20_000)
-                    snips = [raws[k][s:e] for k, s, e in zip(o[z].tolist(), at[z].tolist(), to[z].tolist())]
-                    yield pack([docs_[x + o[z]], rows_[x + o[z]], h[hit[z]], at[z], snips])
+                owner, h, at, size = owner[hit], h[hit], a[hit].astype(np.int32), (b[hit] - a[hit] + length).astype(np.int32)
+                edges = pa.array(np.r_[0, np.cumsum(np.bincount(owner, minlength=y - x))], pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, pa.array(v)) for v in (h, at, size)]
+                cut_bytes = np.bincount(owner, size, minlength=y - x).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(x, y - x) for c in range(3)), *lists, pa.array(sizes[x:y]), pa.array(cut_bytes)], ["doc", "row", "text", "hs", "at", "size", "n", "cut"])
         trim()
 
+    def cut(part: int, parts: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The snippets of the anchors of one part."""
+            for batch in batches:
+                docs_, rows_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                texts = batch.column(2).cast(pa.binary())
+                for x, y in pieces(pc.binary_length(texts).to_pylist()):
+                    raws = texts.slice(x, y - x).to_pylist()
+                    lists = [batch.column(c).slice(x, y - x) for c in (3, 4, 5)]
+                    o = np.repeat(np.arange(y - x), pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))
+                    h, at, size = (c.flatten().to_numpy() for c in lists)
+                    hit = np.flatnonzero(h.view(np.uint64) % np.uint64(parts) == part)
+                    o, h, at, to = o[hit], h[hit], at[hit].astype(np.int64), at[hit].astype(np.int64) + size[hit]
+                    for i in range(0, len(hit), 20_000):
+                        z = slice(i, i + 20_000)
+                        snips = [raws[k][s:e] for k, s, e in zip(o[z].tolist(), at[z].tolist(), to[z].tolist())]
+                        yield pack([docs_[x + o[z]], rows_[x + o[z]], h[z], at[z], snips])
+            trim()
+
+        return run
+
     def pack(out: list[list]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc", "row", "h", "at", "snip"])
 
-    both = keyed.join(mine, ["doc", "row"])
-    occ = both.select("doc", "row", "text", "hs").mapInArrow(cut, "doc long, row long, h long, at long, snip binary")
-    occ = materialize(occ.withColumn("sid", F.xxhash64("snip")), "snippets", batch=BATCH)
+    both = keyed.join(mine, ["doc", "row"]).select("doc", "row", "text", "hs")
+    placed = materialize(both.mapInArrow(locate, "doc long, row long, text string, hs array<long>, at array<int>, size array<int>, n long, cut long"), "anchors-placed", batch=BATCH)
     remove(spark, mine)
+    bytes_, snips = (x or 0 for x in placed.agg(F.sum("n"), F.sum("cut")).first())
+    parts = max(1, -(-snips // max(int(SHARE * bytes_), SMALL)))
 
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,17 +342,6 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
                 owner, key, at, parts = split(part.column(4), part.column(2).to_numpy(), length)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner)), pa.array(key), pa.array(part.column(3).to_numpy()[owner] + at), parts], ["doc", "row", "h", "at", "snip"])
 
-    # how many snippets an anchor has decides only where they are sorted, so a share of them is counted
-    some = occ.where(F.pmod("sid", F.lit(SAMPLED)) == 0).select("h", "sid").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    hot = materialize(some.where(F.col("n") >= max(1, HOT // SAMPLED)).select("h"), "hot-anchors")
-    tables = [occ, hot]
-    if hot.head(1):
-        parts = occ.join(hot, "h", "left_semi").select("doc", "row", "h", "at", "snip").mapInArrow(finer, "doc long, row long, h long, at long, snip binary").repartition("row", "at")  # few files, none much larger
-        tables.append(materialize(parts.withColumn("sid", F.xxhash64("snip")), "hot-parts"))
-        occ = occ.join(hot, "h", "left_anti").unionByName(tables[-1])
-
-    distinct = occ.groupBy("h", "snip").agg(F.min("doc").alias("doc")).withColumn("sid", F.xxhash64("snip"))
-
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (h, sid, doc, snip) come by anchor; whole anchors of about PIECE bytes of text are sorted at a time."""
         held, size = [], 0
@@ -358,12 +373,36 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
             least, windows = decide(some.column(3), some.column(2).to_numpy(), length)
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), runs(least, windows, length)], ["h2", "s2", "runs"])
 
-    judged = distinct.select("h", "sid", "doc", "snip").repartition("h").sortWithinPartitions("h").mapInArrow(judge, "h2 long, s2 long, runs array<struct<a: long, b: long, m: long>>")
-    judged = materialize(judged, "judged")
-    back = occ.select("doc", "row", "h", "at", "sid").join(judged, (F.col("h") == F.col("h2")) & (F.col("sid") == F.col("s2")))
-    gone = back.select("doc", "row", "at", F.explode(F.expr("filter(runs, r -> r.m < doc)")).alias("r")).select("doc", "row", F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b")).alias("s"))
-    out = materialize(gone.groupBy("doc", "row").agg(F.collect_set("s").alias("spans")).unionByName(copies), "spans")
-    for x in (*tables, judged, first):
+    def spans_of(part: int) -> DataFrame:
+        """(doc, row, spans) by the anchors of one part; what was written on the way is gone."""
+        occ = placed.select("doc", "row", "text", "hs", "at", "size").mapInArrow(cut(part, parts), "doc long, row long, h long, at long, snip binary")
+        occ = materialize(occ.withColumn("sid", F.xxhash64("snip")), "snippets", batch=BATCH)
+        # how many snippets an anchor has decides only where they are sorted, so a share of them is counted
+        some = occ.where(F.pmod("sid", F.lit(SAMPLED)) == 0).select("h", "sid").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+        hot = materialize(some.where(F.col("n") >= max(1, HOT // SAMPLED)).select("h"), "hot-anchors")
+        tables = [occ, hot]
+        if hot.head(1):
+            finest = occ.join(hot, "h", "left_semi").select("doc", "row", "h", "at", "snip").mapInArrow(finer, "doc long, row long, h long, at long, snip binary").repartition("row", "at")  # few files, none much larger
+            tables.append(materialize(finest.withColumn("sid", F.xxhash64("snip")), "hot-parts"))
+            occ = occ.join(hot, "h", "left_anti").unionByName(tables[-1])
+        distinct = occ.groupBy("h", "snip").agg(F.min("doc").alias("doc")).withColumn("sid", F.xxhash64("snip"))
+        judged = distinct.select("h", "sid", "doc", "snip").repartition("h").sortWithinPartitions("h").mapInArrow(judge, "h2 long, s2 long, runs array<struct<a: long, b: long, m: long>>")
+        judged = materialize(judged, "judged")
+        back = occ.select("doc", "row", "h", "at", "sid").join(judged, (F.col("h") == F.col("h2")) & (F.col("sid") == F.col("s2")))
+        gone = back.select("doc", "row", "at", F.explode(F.expr("filter(runs, r -> r.m < doc)")).alias("r")).select("doc", "row", F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b")).alias("s"))
+        out = materialize(gone.groupBy("doc", "row").agg(F.collect_set("s").alias("spans")), "spans-of-part")
+        for x in (*tables, judged):
+            remove(spark, x)
+        return out
+
+    found_in = [spans_of(k) for k in range(parts)]
+    remove(spark, placed)
+    spans = found_in[0]
+    for x in found_in[1:]:
+        spans = spans.unionByName(x)
+    spans = spans.groupBy("doc", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = materialize(spans.unionByName(copies), "spans")
+    for x in (*found_in, first):
         remove(spark, x)
     return out
 

@@ -433,6 +433,27 @@ def test_substrings_of_hot_anchors(spark, rows, monkeypatch):
     assert got == brute_substrings(table)
 
 
+def test_substrings_keep_few_snippets_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SMALL", 1, raising=False)
+    monkeypatch.setattr(substrings, "SHARE", 0.3, raising=False)
+    written, materialize = [], substrings.materialize
+
+    def noted(df, name, *a, **k):
+        out = materialize(df, name, *a, **k)
+        if name == "snippets":
+            written.append(out.agg(F.sum(F.octet_length("snip"))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(substrings, "materialize", noted)
+    r = random.Random(3)
+    passages = ["".join(r.choices("abcdefgh ", k=400)) for _ in range(60)]
+    table = [(i, f"{i} ".join(r.choices(passages, k=8))) for i in range(60)]  # almost every anchor is repeated
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in substrings.dedup(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_substrings(table)
+    size = sum(len(t) for _, t in table)
+    assert sum(written) > 2 * size and max(written) < 0.5 * size
+
+
 def test_substrings_of_repeated_and_missing_ids(spark):
     long = "a passage of more than fifty bytes that comes again and again in this table"
     table = [(4, long), (4, long), (4, "x" + long), (None, long), (None, long), (7, long + "!"), (9, None), (9, "")]
