@@ -4,12 +4,12 @@ A byte goes if a ``LENGTH``-byte string over it also starts in a document of a s
 together without sending every position around, each window of LENGTH bytes has an anchor: the least hash of its
 16-byte strings. Equal windows have equal anchors, and one anchor serves about 18 windows in a row.
 Of equal texts only the one of the least id takes part, the others go whole (SHA-256 digests tell). Anchors that occur in
-one text only are dropped (a count over hashes). Around every other anchor its windows are cut out as a snippet; equal snippets are one, with the least document id that has it.
+one text only are dropped (hashes meet in their order, once, and go back to their texts). Around every other anchor its windows are cut out as a snippet; equal snippets are one, with the least document id that has it.
 Snippets overlap, so those of a text in which every anchor is repeated are over three times its size. They are therefore cut, sorted and dropped
 a part of the anchors at a time, and only the texts with their anchors' places stay on disk: a part's snippets are at most about SHARE of the texts.
 
-The snippets of an anchor meet in one task; those of an anchor with very many are first split, by finer anchors of nearly a
-window's length. It sorts their suffixes, forms the Burrows-Wheeler transform and derives
+The snippets of an anchor meet in one task; those of an anchor with very many (the hashes' meeting tells) are cut into parts at once, by finer anchors of
+nearly a window's length. It sorts their suffixes, forms the Burrows-Wheeler transform and derives
 common-prefix lengths by increasing value: breadth-first, every interval of a string W is extended backward to the
 intervals of cW, and an interval whose right neighbour has no value yet gives it the present length. The search stops
 at LENGTH, so what is left without a value is a common prefix of at least LENGTH bytes; suffixes between two values
@@ -40,10 +40,14 @@ _SEP = 0xFF  # no UTF-8 text has this byte
 
 #: Distinct snippets from which, about, an anchor is hot; one in SAMPLED is counted. Its snippets are split by finer anchors of STEP windows each.
 HOT, SAMPLED, STEP = 2048, 16, 4
+#: Bytes of hashes compared at a time.
+MEET = 1 << 23
 #: Bytes of text hashed or sorted at a time, so that the working arrays stay in a core's cache.
 PIECE = 1 << 18
 #: Whole texts handed to Python at a time.
 BATCH = 1000
+#: Rows and bytes handed to Python at a time where these are texts first and hashes then.
+ROWS, BYTES = 20_000, 4_000_000
 #: Bytes of snippets in a part of the anchors, as a share of the texts' bytes, and bytes that always fit in one part.
 SHARE, SMALL = 0.6, 1 << 26
 
@@ -66,9 +70,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def anchors(raws: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each run of a text's windows with the same anchor: number of the text, the anchor, the first window's start and the last one's."""
+    return marked(raws, length)[:4]
+
+
+def marked(raws: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As anchors, with a hash of each run's first and last window, which tells snippets apart where they are counted."""
     sizes = np.array([len(x) for x in raws], np.int64)
     if sizes.sum() < length:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     h = mixed(grams(np.frombuffer(b"".join(raws), np.uint8), GRAM))
     span, least, have = length - GRAM + 1, h, 1
     while have < span:
@@ -87,7 +96,47 @@ def anchors(raws: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nda
     owner = np.searchsorted(ends, first, side="right")
     whole = first < stops[owner]
     owner, first, last = owner[whole], first[whole], last[whole]
-    return owner, least[first].view(np.int64), first - starts[owner], last - starts[owner]
+    mark = np.zeros(len(first), np.uint64)
+    for at in (first, last):
+        for k in (*range(0, length - GRAM, GRAM), length - GRAM):
+            mark = mark * np.uint64(0x9E3779B97F4A7C15) + h[at + k]
+    return owner, least[first].view(np.int64), first - starts[owner], last - starts[owner], mixed(mark).view(np.int64)
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows that come in order of their first column, all of a key together, about ``most`` bytes at a time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size > most:
+            now = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            key = now.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if last:
+                yield now.slice(0, last)
+            held = [now.slice(last)]
+            size = 0 if last else -size  # a larger key waits until it has doubled
+    if held and (now := pa.Table.from_batches(held).combine_chunks()).num_rows:
+        yield now.to_batches()[0]
+
+
+def shared(h: np.ndarray, row: np.ndarray, mark: np.ndarray, hot: int, sampled: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of anchors in order, with the texts they are in: (row, anchor) once for those in two texts or more, and whether an anchor has very many snippets."""
+    edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    many = np.minimum.reduceat(row, edge) != np.maximum.reduceat(row, edge)
+    size = np.diff(np.r_[edge, len(h)])
+    keep = np.repeat(many, size)
+    h, row, mark, size = h[keep], row[keep], mark[keep], size[many]
+    is_hot, begin, least = np.zeros(len(size), bool), np.cumsum(size) - size, max(1, hot // sampled)
+    for g in np.flatnonzero(size >= least).tolist():
+        some = mark[begin[g] : begin[g] + size[g]]
+        is_hot[g] = len(np.unique(some[some % sampled == 0])) >= least
+    is_hot = np.repeat(is_hot, size)
+    order = np.lexsort((row, h))
+    h, row, is_hot = h[order], row[order], is_hot[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)]
+    return row[new], h[new], is_hot[new]
 
 
 def pieces(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -272,24 +321,43 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
             for a, b in pieces(pc.binary_length(texts).to_pylist()):
-                owner, h, _, _ = anchors(texts.slice(a, b - a).to_pylist(), length)
-                order = np.lexsort((h, owner))
-                owner, h = owner[order], h[order]
-                new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])][: len(h)]  # an anchor counts once a text
-                each, h = keys[a:b][owner[new]], h[new]
+                owner, h, _, _, mark = marked(texts.slice(a, b - a).to_pylist(), length)
+                order = np.lexsort((mark, h, owner))
+                owner, h, mark = owner[order], h[order], mark[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]) | (mark[1:] != mark[:-1])][: len(h)]  # a snippet counts once a text
+                each, h, mark = keys[a:b][owner[new]], h[new], mark[new]
                 for at in range(0, len(h), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (each, h)], ["row", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (h, each, mark)], ["h", "row", "mark"])
+        trim()
+
+    hot_from, sampled = HOT, SAMPLED
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The repeated anchors of rows (h, row, mark) in order of h."""
+        for now in whole_keys(batches, MEET):
+            out = shared(*(now.column(c).to_numpy() for c in range(3)), hot_from, sampled)
+            for at in range(0, len(out[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in out], ["row", "h", "hot"])
         trim()
 
-    found = keyed.select("row", "text").mapInArrow(hashes, "row long, h long")
-    repeated = materialize(found.groupBy("h").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("h"), "anchors", batch=BATCH)
-    by_row = found.join(repeated, "h", "left_semi").groupBy("row").agg(F.collect_set("h").alias("hs"))
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (row, h, hot) in order of row: each text's anchors, and the hot ones of these."""
+        for now in whole_keys(batches, MEET):
+            row, h, hot = now.column(0).to_numpy(), now.column(1), now.column(2)
+            edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            ends = np.r_[0, np.cumsum(hot.to_numpy(zero_copy_only=False))]
+            lists = [pa.ListArray.from_arrays(pa.array(np.r_[edge, len(row)], pa.int32()), h), pa.ListArray.from_arrays(pa.array(ends[np.r_[edge, len(row)]], pa.int32()), h.filter(hot))]
+            yield from pa.Table.from_arrays([pa.array(row[edge]), *lists], ["row", "hs", "hots"]).to_batches(max_chunksize=2_000)
+        trim()
+
+    found = keyed.select("row", "text").mapInArrow(hashes, "h long, row long, mark long")
+    repeated = found.repartition("h").sortWithinPartitions("h").mapInArrow(meet, "row long, h long, hot boolean")
+    by_row = repeated.repartition("row").sortWithinPartitions("row").mapInArrow(listed, "row long, hs array<long>, hots array<long>")
     one = first.where("doc = first").select("doc", F.col("row").alias("r"))
-    mine = materialize(one.join(by_row, F.col("r") == F.col("row")).select("doc", "row", "hs"), "anchors-by-text", batch=BATCH)
-    remove(spark, repeated)
+    mine = materialize(one.join(by_row, F.col("r") == F.col("row")).select("doc", "row", "hs", "hots"), "anchors-by-text", batch=ROWS, size=BYTES)
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts with their repeated anchors, the snippets' places and sizes, and the bytes of text and snippets."""
+        """Texts with their repeated anchors, the snippets' places and sizes, the hot anchors, and the bytes of text and snippets."""
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
             sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -301,12 +369,12 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
                 edges = pa.array(np.r_[0, np.cumsum(np.bincount(owner, minlength=y - x))], pa.int32())
                 lists = [pa.ListArray.from_arrays(edges, pa.array(v)) for v in (h, at, size)]
                 cut_bytes = np.bincount(owner, size, minlength=y - x).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(x, y - x) for c in range(3)), *lists, pa.array(sizes[x:y]), pa.array(cut_bytes)], ["doc", "row", "text", "hs", "at", "size", "n", "cut"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(x, y - x) for c in range(3)), *lists, batch.column(4).slice(x, y - x), pa.array(sizes[x:y]), pa.array(cut_bytes)], ["doc", "row", "text", "hs", "at", "size", "hots", "n", "cut"])
         trim()
 
     def cut(part: int, parts: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """The snippets of the anchors of one part."""
+            """The snippets of the anchors of one part; of hot anchors, the finer ones."""
             for batch in batches:
                 docs_, rows_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 texts = batch.column(2).cast(pa.binary())
@@ -317,52 +385,33 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
                     h, at, size = (c.flatten().to_numpy() for c in lists)
                     hit = np.flatnonzero(h.view(np.uint64) % np.uint64(parts) == part)
                     o, h, at, to = o[hit], h[hit], at[hit].astype(np.int64), at[hit].astype(np.int64) + size[hit]
-                    for i in range(0, len(hit), 20_000):
-                        z = slice(i, i + 20_000)
-                        snips = [raws[k][s:e] for k, s, e in zip(o[z].tolist(), at[z].tolist(), to[z].tolist())]
-                        yield pack([docs_[x + o[z]], rows_[x + o[z]], h[z], at[z], snips])
+                    is_hot = np.isin(h, batch.column(6).slice(x, y - x).flatten().to_numpy())
+                    for which, most in ((np.flatnonzero(~is_hot), 20_000), (np.flatnonzero(is_hot), 4_000)):
+                        for i in range(0, len(which), most):
+                            z = which[i : i + most]
+                            snips = pa.array([raws[k][s:e] for k, s, e in zip(o[z].tolist(), at[z].tolist(), to[z].tolist())], pa.binary())
+                            key, place = h[z], at[z]
+                            if most == 4_000:
+                                of, key, inside, snips = split(snips, key, length)
+                                z, place = z[of], place[of] + inside
+                            yield pa.RecordBatch.from_arrays([pa.array(docs_[x + o[z]]), pa.array(rows_[x + o[z]]), pa.array(key), pa.array(place), snips], ["doc", "row", "h", "at", "snip"])
             trim()
 
         return run
 
-    def pack(out: list[list]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc", "row", "h", "at", "snip"])
-
-    both = keyed.join(mine, ["doc", "row"]).select("doc", "row", "text", "hs")
-    placed = materialize(both.mapInArrow(locate, "doc long, row long, text string, hs array<long>, at array<int>, size array<int>, n long, cut long"), "anchors-placed", batch=BATCH)
+    both = keyed.join(mine, ["doc", "row"]).select("doc", "row", "text", "hs", "hots")
+    placed = materialize(both.mapInArrow(locate, "doc long, row long, text string, hs array<long>, at array<int>, size array<int>, hots array<long>, n long, cut long"), "anchors-placed", batch=BATCH)
     remove(spark, mine)
     bytes_, snips = (x or 0 for x in placed.agg(F.sum("n"), F.sum("cut")).first())
     parts = max(1, -(-snips // max(int(SHARE * bytes_), SMALL)))
 
-    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, y in tokens.byte_groups(batch.column(4), PIECE):
-                part = batch.slice(x, y - x)
-                owner, key, at, parts = split(part.column(4), part.column(2).to_numpy(), length)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner)), pa.array(key), pa.array(part.column(3).to_numpy()[owner] + at), parts], ["doc", "row", "h", "at", "snip"])
-
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (h, sid, doc, snip) come by anchor; whole anchors of about PIECE bytes of text are sorted at a time."""
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size > PIECE:
-                now = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                h = now.column(0).to_numpy()
-                last = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
-                yield from settle(now.slice(0, last))
-                held = [now.slice(last)]
-                size = 0 if last else -size  # a larger anchor waits until it has doubled
-        if held:
-            yield from settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-        held.clear()
+        for now in whole_keys(batches, PIECE):
+            yield from settle(now)
         trim()
 
     def settle(now: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not now.num_rows:
-            return
         h = now.column(0).to_numpy()
         size = np.cumsum(pc.binary_length(now.column(3)).to_numpy(zero_copy_only=False) + 1)
         edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -375,23 +424,15 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
 
     def spans_of(part: int) -> DataFrame:
         """(doc, row, spans) by the anchors of one part; what was written on the way is gone."""
-        occ = placed.select("doc", "row", "text", "hs", "at", "size").mapInArrow(cut(part, parts), "doc long, row long, h long, at long, snip binary")
+        occ = placed.select("doc", "row", "text", "hs", "at", "size", "hots").mapInArrow(cut(part, parts), "doc long, row long, h long, at long, snip binary")
         occ = materialize(occ.withColumn("sid", F.xxhash64("snip")), "snippets", batch=BATCH)
-        # how many snippets an anchor has decides only where they are sorted, so a share of them is counted
-        some = occ.where(F.pmod("sid", F.lit(SAMPLED)) == 0).select("h", "sid").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-        hot = materialize(some.where(F.col("n") >= max(1, HOT // SAMPLED)).select("h"), "hot-anchors")
-        tables = [occ, hot]
-        if hot.head(1):
-            finest = occ.join(hot, "h", "left_semi").select("doc", "row", "h", "at", "snip").mapInArrow(finer, "doc long, row long, h long, at long, snip binary").repartition("row", "at")  # few files, none much larger
-            tables.append(materialize(finest.withColumn("sid", F.xxhash64("snip")), "hot-parts"))
-            occ = occ.join(hot, "h", "left_anti").unionByName(tables[-1])
         distinct = occ.groupBy("h", "snip").agg(F.min("doc").alias("doc")).withColumn("sid", F.xxhash64("snip"))
         judged = distinct.select("h", "sid", "doc", "snip").repartition("h").sortWithinPartitions("h").mapInArrow(judge, "h2 long, s2 long, runs array<struct<a: long, b: long, m: long>>")
         judged = materialize(judged, "judged")
         back = occ.select("doc", "row", "h", "at", "sid").join(judged, (F.col("h") == F.col("h2")) & (F.col("sid") == F.col("s2")))
         gone = back.select("doc", "row", "at", F.explode(F.expr("filter(runs, r -> r.m < doc)")).alias("r")).select("doc", "row", F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b")).alias("s"))
         out = materialize(gone.groupBy("doc", "row").agg(F.collect_set("s").alias("spans")), "spans-of-part")
-        for x in (*tables, judged):
+        for x in (occ, judged):
             remove(spark, x)
         return out
 

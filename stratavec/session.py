@@ -96,14 +96,16 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd", batch: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "zstd", batch: int | None = None, size: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return it reread: cuts lineage and survives lost executors.
 
-    batch: rows handed to Python at a time, where they hold whole texts. Shuffle files go when the table is written.
+    batch: rows handed to Python at a time, where they hold whole texts; size: their bytes, about. Shuffle files go when the table is written.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     more = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(batch)} if batch else {}
+    if size:
+        more["spark__sql__execution__arrow__maxBytesPerBatch"] = str(size)
     with settings(spark, **{_CLEANUP.replace(".", "__"): "true"}, **more):
         df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -433,6 +433,38 @@ def test_substrings_of_hot_anchors(spark, rows, monkeypatch):
     assert got == brute_substrings(table)
 
 
+def test_snippets_of_hot_anchors_are_not_joined_again(spark, rows, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 1)
+    monkeypatch.setattr(substrings, "SAMPLED", 1)
+    written, materialize = {}, substrings.materialize
+
+    def noted(df, name, *a, **k):
+        written[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return materialize(df, name, *a, **k)
+
+    monkeypatch.setattr(substrings, "materialize", noted)
+    table = [x[:2] for x in rows]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in substrings.dedup(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_substrings(table)
+    assert "snippets" in written and not [name for name, plan in written.items() if "LeftAnti" in plan]
+    assert written["anchors-by-text"].count("MapInArrow") == 3  # texts are hashed once
+
+
+def test_repeated_anchors_are_told_whatever_the_batches():
+    r = random.Random(5)
+    found = sorted((r.randrange(60) ** 2 // 40, r.randrange(9), r.randrange(50)) for _ in range(900))
+    texts, marks = {}, {}
+    for h, row, mark in found:
+        texts.setdefault(h, set()).add(row)
+        marks.setdefault(h, set()).add(mark)
+    want = sorted((row, h, len(marks[h]) >= 12) for h, rows in texts.items() if len(rows) > 1 for row in rows)
+    for step, most in ((7, 1), (100, 5_000), (900, 1 << 20)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[i : i + step])], ["h", "row", "mark"]) for i in range(0, 900, step)]
+        got = [substrings.shared(*(now.column(c).to_numpy() for c in range(3)), 12, 1) for now in substrings.whole_keys(iter(batches), most)]
+        assert sorted(x for g in got for x in zip(*(c.tolist() for c in g))) == want
+    assert list(substrings.whole_keys(iter([]), 1)) == []
+
+
 def test_substrings_keep_few_snippets_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(substrings, "SMALL", 1, raising=False)
     monkeypatch.setattr(substrings, "SHARE", 0.3, raising=False)
