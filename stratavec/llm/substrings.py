@@ -4,7 +4,8 @@ A byte goes if a ``LENGTH``-byte string over it also starts in a document of a s
 together without sending every position around, each window of LENGTH bytes has an anchor: the least hash of its
 16-byte strings. Equal windows have equal anchors, and one anchor serves about 18 windows in a row.
 Of equal texts only the one of the least id takes part, the others go whole (SHA-256 digests tell). Anchors that occur in
-one text only are dropped (hashes meet in their order, once, and go back to their texts). Around every other anchor its windows are cut out as a snippet; equal snippets are one, with the least document id that has it.
+one text only are dropped (hashes meet in their order, once, and go back to their texts). So are an anchor's windows if no other text has the same 17 bytes before
+the anchor, or for windows that don't hold these, the same 18 after it. Around every other anchor its windows are cut out as a snippet; equal snippets are one, with the least document id that has it.
 Snippets overlap, so those of a text in which every anchor is repeated are over three times its size. They are therefore cut, sorted and dropped
 a part of the anchors at a time, and only the texts with their anchors' places stay on disk: a part's snippets are at most about SHARE of the texts.
 
@@ -73,11 +74,16 @@ def anchors(raws: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.nda
     return marked(raws, length)[:4]
 
 
-def marked(raws: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As anchors, with a hash of each run's first and last window, which tells snippets apart where they are counted."""
+def marked(raws: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """As anchors, with the place of each run's anchor and a mark: what stands before it and after it, hashed.
+
+    A window whose anchor begins at its byte middle(length) or later has the left bytes, any other the right ones; the mark's upper half is the
+    left hash and its lower half the right one, 0 where no window of the run has those bytes. It is -1 if the anchor stands in the run twice,
+    as then its windows' places differ.
+    """
     sizes = np.array([len(x) for x in raws], np.int64)
     if sizes.sum() < length:
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 6
     h = mixed(grams(np.frombuffer(b"".join(raws), np.uint8), GRAM))
     span, least, have = length - GRAM + 1, h, 1
     while have < span:
@@ -96,11 +102,38 @@ def marked(raws: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     owner = np.searchsorted(ends, first, side="right")
     whole = first < stops[owner]
     owner, first, last = owner[whole], first[whole], last[whole]
-    mark = np.zeros(len(first), np.uint64)
-    for at in (first, last):
-        for k in (*range(0, length - GRAM, GRAM), length - GRAM):
-            mark = mark * np.uint64(0x9E3779B97F4A7C15) + h[at + k]
-    return owner, least[first].view(np.int64), first - starts[owner], last - starts[owner], mixed(mark).view(np.int64)
+    anchor, mid = least[first], middle(length)
+    place = last.copy()  # the anchor begins at the run's last window or after it
+    todo = np.flatnonzero(h[last] != anchor)
+    for k in range(1, span):
+        if not len(todo):
+            break
+        at = last[todo] + k
+        found = h[at] == anchor[todo]
+        place[todo[found]] = at[found]
+        todo = todo[~found]
+    begins = np.r_[0, np.cumsum(h[: len(least)] == least, dtype=np.int32)]  # windows that begin with their anchor
+    twice = begins[last] > begins[first]
+    wide = length - mid + 1 - GRAM
+    sides = []
+    for steps, has in ((range(-mid, 0, GRAM), place - first >= mid), ((*range(GRAM, wide, GRAM), wide), place - last < mid)):
+        side = anchor.copy()
+        for k in steps:
+            side = side * np.uint64(0x9E3779B97F4A7C15) + h[np.where(has, place + k, 0)]
+        sides.append(((mixed(side) >> np.uint64(33)) + np.uint64(1)) * has)
+    mark = np.where(twice, np.int64(-1), (sides[0] << np.uint64(32) | sides[1]).view(np.int64))
+    return owner, anchor.view(np.int64), first - starts[owner], last - starts[owner], place - starts[owner], mark
+
+
+def middle(length: int) -> int:
+    return (length - GRAM + 1) // 2
+
+
+def sided(h: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors and their left and right bytes as one key each."""
+    wild = mark == -1
+    left, right = (mark >> 32) * ~wild, (mark & 0xFFFFFFFF) * ~wild
+    return tuple(mixed(h.view(np.uint64) + part.view(np.uint64) * np.uint64(odd)).view(np.int64) for part, odd in ((left, 0xD6E8FEB86659FD93), (right, 0xA0761D6478BD642F)))
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -122,21 +155,44 @@ def whole_keys(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Reco
 
 
 def shared(h: np.ndarray, row: np.ndarray, mark: np.ndarray, hot: int, sampled: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of anchors in order, with the texts they are in: (row, anchor) once for those in two texts or more, and whether an anchor has very many snippets."""
+    """Of anchors in order, with the texts they are in: (row, key, False) for what two texts or more share, (row, anchor, True) for such anchors with very many snippets.
+
+    A key is an anchor with its left or its right bytes; of anchors with a mark of -1 it is the anchor alone, for all texts.
+    """
     edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     many = np.minimum.reduceat(row, edge) != np.maximum.reduceat(row, edge)
     size = np.diff(np.r_[edge, len(h)])
     keep = np.repeat(many, size)
     h, row, mark, size = h[keep], row[keep], mark[keep], size[many]
-    is_hot, begin, least = np.zeros(len(size), bool), np.cumsum(size) - size, max(1, hot // sampled)
-    for g in np.flatnonzero(size >= least).tolist():
-        some = mark[begin[g] : begin[g] + size[g]]
-        is_hot[g] = len(np.unique(some[some % sampled == 0])) >= least
-    is_hot = np.repeat(is_hot, size)
-    order = np.lexsort((row, h))
-    h, row, is_hot = h[order], row[order], is_hot[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(h)]
-    return row[new], h[new], is_hot[new]
+    if not len(h):
+        return row, h, np.zeros(0, bool)
+    begin, group, least = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size), max(1, hot // sampled)
+    wild = np.repeat(np.logical_or.reduceat(mark == -1, begin), size)
+    rows, keys, any_ = [row[wild]], [h[wild]], wild.copy()
+    for key, part in zip(sided(h, mark), (mark >> 32, mark & 0xFFFFFFFF)):
+        some = np.flatnonzero(~wild & (part != 0))
+        meet = group[some] << 32 | part[some]
+        order = np.argsort(meet)
+        some, meet = some[order], meet[order]
+        first = np.flatnonzero(np.r_[True, meet[1:] != meet[:-1]][: len(meet)])
+        if len(first):
+            both = np.minimum.reduceat(row[some], first) != np.maximum.reduceat(row[some], first)
+            some = some[np.repeat(both, np.diff(np.r_[first, len(some)]))]
+            rows.append(row[some])
+            keys.append(key[some])
+            any_[some] = True
+    is_hot = np.zeros(len(size), bool)
+    for g in np.flatnonzero(np.add.reduceat(any_, begin, dtype=np.int64) >= least).tolist():
+        some = mark[begin[g] : begin[g] + size[g]][any_[begin[g] : begin[g] + size[g]]]
+        is_hot[g] = len(np.unique(some[mixed(some.view(np.uint64)) % np.uint64(sampled) == 0])) >= least
+    is_hot = np.repeat(is_hot, size) & any_
+    flags = [np.zeros(sum(map(len, rows)), bool), np.ones(is_hot.sum(), bool)]
+    row, key, flag = np.concatenate([*rows, row[is_hot]]), np.concatenate([*keys, h[is_hot]]), np.concatenate(flags)
+    order = np.lexsort((row, key))
+    order = order[np.argsort(flag[order], kind="stable")]
+    row, key, flag = row[order], key[order], flag[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (flag[1:] != flag[:-1])][: len(key)]
+    return row[new], key[new], flag[new]
 
 
 def pieces(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -321,7 +377,7 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
             for a, b in pieces(pc.binary_length(texts).to_pylist()):
-                owner, h, _, _, mark = marked(texts.slice(a, b - a).to_pylist(), length)
+                owner, h, _, _, _, mark = marked(texts.slice(a, b - a).to_pylist(), length)
                 order = np.lexsort((mark, h, owner))
                 owner, h, mark = owner[order], h[order], mark[order]
                 new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]) | (mark[1:] != mark[:-1])][: len(h)]  # a snippet counts once a text
@@ -341,12 +397,12 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
         trim()
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (row, h, hot) in order of row: each text's anchors, and the hot ones of these."""
+        """Rows (row, h, hot) in order of row: the keys each text shares, and its hot anchors."""
         for now in whole_keys(batches, MEET):
             row, h, hot = now.column(0).to_numpy(), now.column(1), now.column(2)
             edge = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             ends = np.r_[0, np.cumsum(hot.to_numpy(zero_copy_only=False))]
-            lists = [pa.ListArray.from_arrays(pa.array(np.r_[edge, len(row)], pa.int32()), h), pa.ListArray.from_arrays(pa.array(ends[np.r_[edge, len(row)]], pa.int32()), h.filter(hot))]
+            lists = [pa.ListArray.from_arrays(pa.array(np.r_[edge, len(row)] - ends[np.r_[edge, len(row)]], pa.int32()), h.filter(pc.invert(hot))), pa.ListArray.from_arrays(pa.array(ends[np.r_[edge, len(row)]], pa.int32()), h.filter(hot))]
             yield from pa.Table.from_arrays([pa.array(row[edge]), *lists], ["row", "hs", "hots"]).to_batches(max_chunksize=2_000)
         trim()
 
@@ -356,15 +412,20 @@ def find(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "
     one = first.where("doc = first").select("doc", F.col("row").alias("r"))
     mine = materialize(one.join(by_row, F.col("r") == F.col("row")).select("doc", "row", "hs", "hots"), "anchors-by-text", batch=ROWS, size=BYTES)
 
+    mid = middle(length)
+
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts with their repeated anchors, the snippets' places and sizes, the hot anchors, and the bytes of text and snippets."""
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
             sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
             for x, y in pieces(sizes.tolist()):
-                owner, h, a, b = anchors(texts.slice(x, y - x).to_pylist(), length)
-                hs = batch.column(3).slice(x, y - x)
-                hit = np.flatnonzero(np.isin(h, hs.flatten().to_numpy()))  # repeated for one text is repeated for all
+                owner, h, a, b, p, mark = marked(texts.slice(x, y - x).to_pylist(), length)
+                keys = batch.column(3).slice(x, y - x).flatten().to_numpy()  # shared by one text is shared by all
+                whole, (left, right) = np.isin(h, keys), (np.isin(k, keys) for k in sided(h, mark))
+                left, right = whole | left & (mark >> 32 > 0), whole | right & (mark > 0) & (mark & 0xFFFFFFFF != 0)
+                a, b = np.where(left, a, np.maximum(a, p - mid + 1)), np.where(right, b, np.minimum(b, p - mid))
+                hit = np.flatnonzero((left | right) & (a <= b))
                 owner, h, at, size = owner[hit], h[hit], a[hit].astype(np.int32), (b[hit] - a[hit] + length).astype(np.int32)
                 edges = pa.array(np.r_[0, np.cumsum(np.bincount(owner, minlength=y - x))], pa.int32())
                 lists = [pa.ListArray.from_arrays(edges, pa.array(v)) for v in (h, at, size)]

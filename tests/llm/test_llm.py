@@ -450,18 +450,39 @@ def test_snippets_of_hot_anchors_are_not_joined_again(spark, rows, monkeypatch):
     assert written["anchors-by-text"].count("MapInArrow") == 3  # texts are hashed once
 
 
+@pytest.mark.parametrize("length", [16, 33, 50, 80])
+def test_anchors_are_placed(length):
+    r = random.Random(1)
+    raws = [bytes(r.choices(b"abcdefgh ", k=r.randrange(300))) + b"ab" * r.randrange(50) + b"HELLO " * r.randrange(20) + bytes(r.choices(b"abcdefgh ", k=r.randrange(200))) for _ in range(60)]
+    grams = [substrings.mixed(substrings.grams(np.frombuffer(x, np.uint8), 16)).view(np.int64).tolist() if len(x) > 15 else [] for x in raws]
+    for owner, h, first, last, place, mark in zip(*(x.tolist() for x in substrings.marked(raws, length))):
+        for window in range(first, last + 1):
+            at = grams[owner].index(h, window)
+            assert mark == -1 or at == place and (mark >> 32 if at - window >= substrings.middle(length) else mark & 0xFFFFFFFF)
+
+
 def test_repeated_anchors_are_told_whatever_the_batches():
     r = random.Random(5)
-    found = sorted((r.randrange(60) ** 2 // 40, r.randrange(9), r.randrange(50)) for _ in range(900))
-    texts, marks = {}, {}
-    for h, row, mark in found:
-        texts.setdefault(h, set()).add(row)
-        marks.setdefault(h, set()).add(mark)
-    want = sorted((row, h, len(marks[h]) >= 12) for h, rows in texts.items() if len(rows) > 1 for row in rows)
+    found = sorted((r.randrange(60) ** 2 // 40, r.randrange(9), r.choice([-1, *(a << 32 | b for a in range(4) for b in range(4))] if r.random() < 0.1 else [1 << 32 | r.randrange(9), r.randrange(9) << 32])) for _ in range(900))
+    want = set()
+    for h in {x[0] for x in found}:
+        mine = [(row, mark) for x, row, mark in found if x == h]
+        texts = {row for row, _ in mine}
+        if len(texts) < 2:
+            continue
+        if any(mark == -1 for _, mark in mine):
+            want |= {(row, h) for row in texts}
+            continue
+        for k, part in enumerate((lambda m: m >> 32, lambda m: m & 0xFFFFFFFF)):
+            for v in {part(m) for _, m in mine} - {0}:
+                who = [(row, m) for row, m in mine if part(m) == v]
+                if len({row for row, _ in who}) > 1:
+                    want |= {(row, int(substrings.sided(np.array([h]), np.array([m]))[k][0])) for row, m in who}
     for step, most in ((7, 1), (100, 5_000), (900, 1 << 20)):
         batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[i : i + step])], ["h", "row", "mark"]) for i in range(0, 900, step)]
-        got = [substrings.shared(*(now.column(c).to_numpy() for c in range(3)), 12, 1) for now in substrings.whole_keys(iter(batches), most)]
-        assert sorted(x for g in got for x in zip(*(c.tolist() for c in g))) == want
+        got = [x for now in substrings.whole_keys(iter(batches), most) for x in zip(*(c.tolist() for c in substrings.shared(*(now.column(c).to_numpy() for c in range(3)), 1000, 1)))]
+        assert len(got) == len(set(got)) and {x[:2] for x in got} == want and not any(x[2] for x in got)
+    assert any(substrings.shared(*(np.array(c) for c in zip(*found)), 5, 1)[2])
     assert list(substrings.whole_keys(iter([]), 1)) == []
 
 
